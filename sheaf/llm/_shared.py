@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import tempfile
 import uuid
 
@@ -55,6 +57,22 @@ class Scratch:
         hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession, blob: bytes, kind: str) -> str:
+    """Send a file of bounded size to the executors, once; its name for ``SparkFiles.get``."""
+    name = f"sheaf-{kind}-{hashlib.sha256(blob).hexdigest()[:24]}.bin"
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _SHIPPED:
+        path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="sheaf-")), name)
+        with open(path, "wb") as f:
+            f.write(blob)
+        spark.sparkContext.addFile(path)
+        _SHIPPED.add(key)
+    return name
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

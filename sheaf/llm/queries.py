@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sheaf.llm.bpe import op9_byte_bpe
 from sheaf.llm.secret_scan import op6_secret_scan
 from sheaf.llm.sharding import op10_stratified_interleave
 from sheaf.llm.url_filter import OP1_SQL, op1_url_filter
@@ -9,6 +10,7 @@ from sheaf.llm.url_filter import OP1_SQL, op1_url_filter
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op6_secret_scan": op6_secret_scan,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_stratified_interleave": op10_stratified_interleave,
 }
 

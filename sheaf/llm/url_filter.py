@@ -15,11 +15,8 @@ entries in a shuffled equi-join on the digest, confirmed by the string.
 
 from __future__ import annotations
 
-import hashlib
 import mmap
-import os
 import struct
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm._shared import table
+from sheaf.llm._shared import ship, table
 
 MAGIC = b"SHEAFURL"
 BLOCK, ALLOW = 0, 1
@@ -147,16 +144,6 @@ def _mapped(name: str) -> DigestArray:
     return _OPEN[name]
 
 
-def _ship(spark: SparkSession, blob: bytes) -> str:
-    name = f"urls-{hashlib.sha256(blob).hexdigest()[:24]}.bin"
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="sheaf-urls-"))
-    path = os.path.join(folder, name)
-    with open(path, "wb") as f:
-        f.write(blob)
-    spark.sparkContext.addFile(path)
-    return name
-
-
 def judge(
     pages: DataFrame,
     rules: Iterable[tuple[str, str]] = RULES,
@@ -186,7 +173,7 @@ def judge(
 
 
 def _judge_mapped(parsed: DataFrame, blob: bytes, default: str) -> DataFrame:
-    name = _ship(parsed.sparkSession, blob)
+    name = ship(parsed.sparkSession, blob, "urls")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parsed.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
