@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from sheaf.llm.bpe import op9_byte_bpe
+from sheaf.llm.line_dedup import OP3_SQL, op3_line_dedup
 from sheaf.llm.secret_scan import op6_secret_scan
 from sheaf.llm.sharding import op10_stratified_interleave
+from sheaf.llm.toxicity import op4_toxicity
 from sheaf.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_toxicity": op4_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_stratified_interleave": op10_stratified_interleave,
 }
 
-ORACLE_SQL = {"op1_url_filter": OP1_SQL}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op3_line_dedup": OP3_SQL}
