@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sheaf.llm.bpe import op9_byte_bpe
+from sheaf.llm.decontaminate import op8_decontaminate
 from sheaf.llm.line_dedup import OP3_SQL, op3_line_dedup
 from sheaf.llm.secret_scan import op6_secret_scan
 from sheaf.llm.sharding import op10_stratified_interleave
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_secret_scan": op6_secret_scan,
+    "op8_decontaminate": op8_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_stratified_interleave": op10_stratified_interleave,
 }
