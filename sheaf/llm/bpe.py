@@ -336,6 +336,25 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str = pu
     return _mapped(docs, vocabulary, pattern, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", row)
 
 
+def encode_and_check(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, token_ids array<int>, ids_sha256, decoded_sha256), as ``encode`` and ``round_trip`` give them."""
+
+    def row(keys, pieces, codec):
+        ids = [codec.ids(p) for p in pieces]
+        return pa.record_batch(
+            [
+                keys,
+                pa.array([i.count(" ") + 1 if i else 0 for i in ids], pa.int64()),
+                pa.array([np.array(i.split(), np.int32) for i in ids], pa.list_(pa.int32())),
+                pa.array([hashlib.sha256(i.encode()).hexdigest() for i in ids]),
+                pa.array([hashlib.sha256(codec.decoded(p)).hexdigest() for p in pieces]),
+            ],
+            ["doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"],
+        )
+
+    return _mapped(docs, vocabulary, pattern, id_col, text_col, "n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string", row)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` encoded by the 50k ranks and decoded again."""
     return round_trip(table(spark, sf_dir, "documents"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sheaf.llm.bpe import op9_byte_bpe
+from sheaf.llm.cotrain import op7_cotraining_quality
 from sheaf.llm.decontaminate import op8_decontaminate
 from sheaf.llm.embed_dedup import OP5_SQL, op5_embedding_dedup
 from sheaf.llm.line_dedup import OP3_SQL, op3_line_dedup
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_secret_scan": op6_secret_scan,
+    "op7_cotraining_quality": op7_cotraining_quality,
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_stratified_interleave": op10_stratified_interleave,
