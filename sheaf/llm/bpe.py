@@ -279,6 +279,8 @@ def _mapped(docs: DataFrame, vocabulary: str | None, pattern: str, id_col: str,
         codec = _codec(name, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()
+            if not texts:
+                continue
             for a, b in _slices(texts):
                 pieces = [codec.split(t) for t in texts[a:b]]
                 codec.learn(pieces)

@@ -186,20 +186,23 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     """The rows of ``docs`` that hold no benchmark item, all columns kept."""
     spark = docs.sparkSession
     for index in build_indexes(benchmark, max_index_bytes):
-        shared = spark.sparkContext.broadcast(index)
-
-        @F.pandas_udf(T.BooleanType())
-        def leaks(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            for texts in batches:
-                hit = np.zeros(len(texts), bool)
-                for k, *_ in shared.value.leaks(texts.tolist(), threshold, overlap):
-                    hit[k] = True
-                yield pd.Series(hit)
-
+        leaks = _leak_test(spark.sparkContext.broadcast(index), threshold, overlap)
         docs = docs.where(~leaks(F.coalesce(F.col(text_col), F.lit(""))))
     return docs
 
 
+def _leak_test(shared, threshold: float, overlap: float):
+    @F.pandas_udf(T.BooleanType())
+    def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            hit = np.zeros(len(texts), bool)
+            for k, *_ in shared.value.leaks(texts.tolist(), threshold, overlap):
+                hit[k] = True
+            yield pd.Series(hit)
+
+    return leaks
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

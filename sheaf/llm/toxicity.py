@@ -157,9 +157,9 @@ def fit(
         )
         .groupBy("k").agg(F.max(F.col("part") == 1).alias("p"), F.max(F.col("part") == 0).alias("u"), F.max("y").alias("y"))
     )
-    bag = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(r"(?U)\w+"), F.lit(0)))
+    bag = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty("t")), F.lit(r"(?U)\w+"), F.lit(0)))
     sample = (
-        docs.select(F.col(id_col).alias("k"), F.col(text_col)).join(F.broadcast(chosen), "k")
+        docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "k")
         .select("k", "p", "u", "y", bag.alias("bag")).dropDuplicates(["k"]).persist()
     )
     size = sample.agg(F.sum(F.col("p").cast("int")), F.sum(F.col("u").cast("int"))).first()
