@@ -227,9 +227,8 @@ def _member(x: Field, t: Container, strict: bool) -> Column:
         hit = no() if s is None else F.coalesce(F.lit(t).contains(s), no())
         if not strict:
             return hit
-        return F.when(hit, yes()).when(x.pystr().isNotNull() & (no() if s is None else s.isNotNull()), no()).otherwise(
-            F.raise_error(F.lit("a string only contains strings")).cast("boolean")
-        )
+        is_text = no() if s is None else s.isNotNull()
+        return F.when(hit, yes()).when(is_text | x.is_null(), no()).otherwise(F.raise_error(F.lit("a string only contains strings")).cast("boolean"))
     values = list(t)
     if isinstance(x, TypedField) and not x.absent and values:
         # one IN expression for the values that fit the column plainly

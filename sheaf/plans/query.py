@@ -177,8 +177,9 @@ class DocumentQuery(Query):
         if found == {"str"}:
             return [field.string()]
         if found == {"num"}:
-            exact = F.when(field.is_integral(), field._get("decimal(38,0)"))
             inexact = F.when(field.is_bool(), field._get("boolean").cast("double")).otherwise(field._get("double"))
+            # integers that one double stands for are told apart; equal numbers of other types stay equal
+            exact = F.when(field.is_integral(), field._get("decimal(38,0)")).otherwise(inexact.try_cast("decimal(38,0)"))
             return [F.when(field.is_null(), F.lit(None).cast("double")).otherwise(inexact), exact]
         return [F.when(~field.is_null(), field.pystr())] if found else []
 
