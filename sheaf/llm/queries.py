@@ -9,7 +9,7 @@ from sheaf.llm.embed_dedup import OP5_SQL, op5_embedding_dedup
 from sheaf.llm.line_dedup import OP3_SQL, op3_line_dedup
 from sheaf.llm.order_minhash import op2_order_minhash
 from sheaf.llm.secret_scan import op6_secret_scan
-from sheaf.llm.sharding import op10_stratified_interleave
+from sheaf.llm.sharding import OP10_SQL, op10_stratified_interleave
 from sheaf.llm.toxicity import op4_toxicity
 from sheaf.llm.url_filter import OP1_SQL, op1_url_filter
 
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_stratified_interleave": op10_stratified_interleave,
 }
 
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_embedding_dedup": OP5_SQL}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op10_stratified_interleave": OP10_SQL}

@@ -98,3 +98,21 @@ def op10_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source"
     )
+
+
+OP10_SQL = """
+with bits as (select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as tab from range(256) r(i)),
+raw as (select doc_id, source, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as x from documents),
+sized as (
+  select doc_id, source, (strlen(text) + 16)::bigint as size,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::int, 2))::bigint)),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) as text_crc32
+  from raw, bits),
+keyed as (select *, md5('17|' || coalesce(doc_id::varchar, '') || '|' || text_crc32) as k from sized),
+parts as (
+  select *, (2 * (row_number() over (partition by source order by k, doc_id nulls first, text_crc32, size) - 1) + 1) / (2 * count(*) over (partition by source)) as part
+  from keyed),
+placed as (select *, row_number() over (order by part, source nulls first, k, doc_id nulls first, size) - 1 as place, count(*) over () as total from parts),
+sharded as (select *, (place * 40) // total as shard from placed)
+select doc_id, size, text_crc32, 'rows' as law, shard::int as shard, (place - (shard * total + 39) // 40)::bigint as slot, null::int as grown_shard, source from sharded
+"""
