@@ -20,9 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import os
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -38,7 +36,9 @@ from pyspark.sql import functions as F
 from sheaf.llm._shared import ship, table, text_or_empty
 
 LONG_WORD = 200
-#: Words of one recursive query, and words that a worker remembers.
+#: Token-position rows that one recursive query makes at most, all rounds together; words and sequences
+#: that go to a query at once; words that a worker remembers.
+CHUNK_ROWS = 3_000_000
 CHUNK_WORDS = 20_000
 CACHE_WORDS = 400_000
 
@@ -104,7 +104,7 @@ class Merger:
         pairs = [(ranks[t[:i]], ranks[t[i:]], m) for t, m in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.by_pair = {(a, b): m for a, b, m in pairs}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": os.path.realpath(tempfile.mkdtemp(prefix="sheaf-bpe-"))})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})  # chunks are bounded: nothing spills
         left, right, merged = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True)) if pairs else (pa.array([], pa.int32()),) * 3
         self._load("merges", pa.table({"l": left, "r": right, "m": merged}))
         ids = sorted(self.text)
@@ -126,10 +126,15 @@ class Merger:
                 out[i] = self._encode_long(w)
             elif w:
                 todo.append(i)
-        for at in range(0, len(todo), CHUNK_WORDS):
-            part = todo[at : at + CHUNK_WORDS]
-            for i, ids in zip(part, self._encode_rows([words[i] for i in part]), strict=True):
-                out[i] = ids
+        part: list[int] = []
+        rows = 0
+        for k, i in enumerate(todo):
+            part.append(i)
+            rows += len(words[i]) ** 2  # a round for each byte at most, of a row for each
+            if rows >= CHUNK_ROWS or len(part) == CHUNK_WORDS or k == len(todo) - 1:
+                for j, ids in zip(part, self._encode_rows([words[j] for j in part]), strict=True):
+                    out[j] = ids
+                part, rows = [], 0
         return out
 
     def _encode_rows(self, words: list[bytes]) -> list[list[int]]:
@@ -187,24 +192,30 @@ class Merger:
 
     def decode(self, seqs: list[list[int]]) -> list[bytes]:
         """Bytes of each sequence of ids; an id without an entry is an error."""
-        out = []
-        for at in range(0, len(seqs), CHUNK_WORDS):
-            part = seqs[at : at + CHUNK_WORDS]
-            flat = np.fromiter((i for s in part for i in s), np.int32)
-            lengths = np.fromiter(map(len, part), np.int64, len(part))
-            self.con.register("ids", pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), lengths), "pos": np.arange(len(flat), dtype=np.int64), "id": flat}))
-            got = self.con.execute(
-                "select w, count(hex) as n, string_agg(hex, '' order by pos) as hex from ids left join vocab using (id) group by w"
-            ).fetchall()
-            self.con.unregister("ids")
-            made = [b""] * len(part)
-            for w, n, text in got:
-                if n != lengths[w]:
-                    raise ValueError("an id is not in the vocabulary")
-                made[w] = bytes.fromhex(text)
-            out += made
+        out: list[bytes] = []
+        part: list[list[int]] = []
+        size = 0
+        for k, ids in enumerate(seqs):
+            part.append(ids)
+            size += len(ids)
+            if size >= CHUNK_ROWS or len(part) == CHUNK_WORDS or k == len(seqs) - 1:
+                out += self._decode_rows(part)
+                part, size = [], 0
         return out
 
+    def _decode_rows(self, seqs: list[list[int]]) -> list[bytes]:
+        flat = np.fromiter((i for s in seqs for i in s), np.int32)
+        lengths = np.fromiter(map(len, seqs), np.int64, len(seqs))
+        self.con.register("ids", pa.table({"w": np.repeat(np.arange(len(seqs), dtype=np.int32), lengths), "pos": np.arange(len(flat), dtype=np.int64), "id": flat}))
+        got = self.con.execute("select w, count(hex) as n, string_agg(hex, '' order by pos) as hex from ids left join vocab using (id) group by w").fetchall()
+        self.con.unregister("ids")
+        made = [b""] * len(seqs)
+        for w, n, text in got:
+            if n != lengths[w]:
+                raise ValueError("an id is not in the vocabulary")
+            made[w] = bytes.fromhex(text)
+        return made
+
 
 class Codec:
     """Texts to ids and back, with the words met before kept in a bounded cache."""
