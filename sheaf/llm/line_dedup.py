@@ -8,8 +8,9 @@ only those near it get an exact count of their distinct sites. A boilerplate
 line stays in the first document that has it (least id, then position) and is
 removed everywhere else, so no content leaves the corpus as a whole.
 
-DataFrame operations only. Digests alone are shuffled to find the lines; the
-texts are shuffled at most once, for the removal.
+DataFrame operations only. Texts are split once into a written table of
+digests; those alone are shuffled to find the lines, and the texts at most
+once, for the removal.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ BAND = 0.1
 
 def _lines(docs: DataFrame, text_col: str, source_col: str, id_col: str, min_words: int) -> DataFrame:
     """(doc, row, pos, h1, h2, site) of every line of ``min_words`` words or more."""
-    line = F.trim(F.regexp_replace(F.col("line"), r"\s+", " "))
+    line = F.btrim(F.col("line"), F.lit(" \t\r"))
     return (
         docs.select(
             F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("row"),
@@ -43,27 +44,33 @@ def _lines(docs: DataFrame, text_col: str, source_col: str, id_col: str, min_wor
     )
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", scratch: Scratch | None = None) -> DataFrame:
-    """(h1, h2, first) of the lines on ``min_sites`` distinct sites or more; first: (doc, pos) that keeps it."""
-    scratch = scratch or Scratch(docs.sparkSession, "lines")
-    lines = _lines(docs, text_col, source_col, id_col, min_words)
+def boilerplate(lines: DataFrame, min_sites: int, scratch: Scratch) -> DataFrame:
+    """(h1, h2, first) of the lines on ``min_sites`` distinct sites or more; first: (doc, row, pos) that keeps it.
+
+    Lines that stand in fewer than ``min_sites`` places, or on one site only,
+    cannot get there; plain counts sort them out before any sketch is built.
+    """
+    mark = F.xxhash64("site")
+    often = (
+        lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(mark).alias("lo"), F.max(mark).alias("hi"))
+        .where((F.col("n") >= min_sites) & (F.col("lo") != F.col("hi"))).select("h1", "h2")
+    )
+    some = scratch.keep(lines.join(often, ["h1", "h2"], "left_semi"), "often")
     spread = (
-        lines.groupBy("h1", "h2")
-        .agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "row", "pos")).alias("first"))
-        .where(F.col("n") >= min_sites)
+        some.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("doc", "row", "pos")).alias("first"))
         .select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
         .where(F.col("sites") >= min_sites * (1 - BAND))
     )
     spread = scratch.keep(spread, "spread")
     near = spread.where(F.col("sites") < min_sites * (1 + BAND))
     exact = (
-        lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
+        some.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
         .groupBy("h1", "h2", "site").agg(F.lit(1).alias("one"))
         .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("sites"))
         .where(F.col("sites") >= min_sites)
     )
     clear = spread.where(F.col("sites") >= min_sites * (1 + BAND))
-    return scratch.keep(clear.select("h1", "h2", "first").union(near.join(exact.select("h1", "h2"), ["h1", "h2"]).select("h1", "h2", "first")), "boilerplate")
+    return clear.select("h1", "h2", "first").union(near.join(exact.select("h1", "h2"), ["h1", "h2"]).select("h1", "h2", "first"))
 
 
 def _without(text: Column, gone: Column) -> Column:
@@ -76,24 +83,28 @@ def _without(text: Column, gone: Column) -> Column:
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", removed_col: str | None = None) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text_col``; all rows and columns stay.
 
-    Lines compare with runs of white space as one blank. Null and empty texts
+    Lines compare without blanks, tabs and returns at their ends, and words
+    are counted by blanks. Null and empty texts
     stay as they are; a null source counts as one site; rows repeated whole
     count as one, so they keep the same lines; a text all of whose lines go
     becomes empty. ``removed_col`` names an extra column for the number of
     lines removed. An empty table gives an empty table.
     """
+    if min_sites < 2:
+        raise ValueError("min_sites must be 2 or more")
     scratch = Scratch(docs.sparkSession, "lines")
-    found = boilerplate(docs, min_sites, min_words, id_col, text_col, source_col, scratch)
+    lines = scratch.keep(_lines(docs, text_col, source_col, id_col, min_words), "lines")
+    found = boilerplate(lines, min_sites, scratch)
     gone = (
-        _lines(docs, text_col, source_col, id_col, min_words)
-        .join(found.select(F.col("h1"), F.col("h2"), "first"), ["h1", "h2"])
+        scratch.keep(lines.join(found, ["h1", "h2"]), "found")
         .where(~F.struct("doc", "row", "pos").eqNullSafe(F.col("first")))
         .groupBy("doc", "row").agg(F.collect_set("pos").alias("gone"))
         .select(F.col("doc").alias("_sheaf_doc"), F.col("row").alias("_sheaf_row"), F.col("gone").alias("_sheaf_gone"))
     )
-    both = docs.join(gone, docs[id_col].eqNullSafe(F.col("_sheaf_doc")) & (F.xxhash64(docs[text_col]) == F.col("_sheaf_row")), "left")
-    new = F.when(F.col("_sheaf_gone").isNull(), docs[text_col]).otherwise(_without(docs[text_col], F.col("_sheaf_gone")))
-    cols = [new.alias(text_col) if c == text_col else docs[c] for c in docs.columns]
+    text = docs[f"`{text_col}`"]
+    both = docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(F.col("_sheaf_doc")) & (F.xxhash64(text) == F.col("_sheaf_row")), "left")
+    new = F.when(F.col("_sheaf_gone").isNull(), text).otherwise(_without(text, F.col("_sheaf_gone")))
+    cols = [new.alias(text_col) if c == text_col else docs[f"`{c}`"] for c in docs.columns]
     if removed_col:
         cols.append(F.coalesce(F.size("_sheaf_gone"), F.lit(0)).alias(removed_col))
     return both.select(*cols)
@@ -109,7 +120,7 @@ def line_sql(docs: str = "documents", min_sites: int = MIN_SITES, min_words: int
     """Body of DuckDB CTEs that end in ``cleaned(doc_id, text, n_removed)``, for tables of unique ids."""
     return f"""
 split_lines as (select doc_id, source, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as pos from {docs}),
-numbered as (select *, trim(regexp_replace(raw, '\\s+', ' ', 'g')) as line from split_lines),
+numbered as (select *, trim(raw, ' ' || chr(9) || chr(13)) as line from split_lines),
 counted as (select *, len(string_split(line, ' ')) >= {min_words} and line <> '' as big from numbered),
 spread as (select line, count(distinct coalesce('=' || source, '')) as sites, min(struct_pack(d := doc_id, p := pos)) as first from counted where big group by line),
 marked as (select c.*, coalesce(s.sites >= {min_sites} and c.big and struct_pack(d := c.doc_id, p := c.pos) <> s.first, false) as gone from counted c left join spread s using (line)),
