@@ -260,6 +260,11 @@ class Collection:
         rows = cells.where(~F.col("field").startswith("_")).select("field", value.alias("value"), F.struct("_seq", "_id").alias("k"))
         return rows.groupBy("field", "value").agg(F.transform(F.sort_array(F.collect_list("k")), lambda k: k["_id"]).alias("ids"))
 
+    def check_unique(self, field: str, value, exclude_id: int | None = None) -> None:
+        """DuplicateIndexError if another live record has this value."""
+        if any(i != exclude_id for i in self.lookup(field, value)):
+            raise DuplicateIndexError(field, value)
+
     def all_values(self, field: str) -> dict[str, list[int]]:
         return {r["value"]: r["ids"] for r in self.index_df().where(F.col("field") == field).collect()}
 
