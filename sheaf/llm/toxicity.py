@@ -173,7 +173,7 @@ def fit(
         r[0]
         for r in sample.where("p or u").select(F.explode("bag").alias("word"), "p", "u")
         .groupBy("word").agg(F.sum(F.col("p").cast("int")).alias("in_p"), F.sum(F.col("u").cast("int")).alias("in_u"))
-        .where((F.col("in_p") >= 2) & (F.col("in_p") + F.col("in_u") >= 4))
+        .where((F.col("in_p") >= 3) | (F.col("in_u") >= 8))
         .select("word", ((rate_p - rate_u) / spread).alias("z")).where(F.abs("z") >= 4)
         .orderBy(F.abs("z").desc(), "word").limit(max_words).collect()
     ]

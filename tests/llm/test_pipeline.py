@@ -27,7 +27,8 @@ def test_pipeline(spark, tmp_path):
         assert kept[name].columns == kept["start"].columns
     texts = {n: {r["doc_id"]: r["text"] for r in f.collect()} for n, f in kept.items() if n != order[-1]}
     source = {r["doc_id"]: r["source"] for r in kept["start"].collect()}
-    clean = [i for i, t in texts["start"].items() if not re.search("idiot|moron|stupid|scum|loser|pathetic|worthless|trash|clown|disgusting", t)]
+    toxic = {r["doc_id"] for r in spark.read.parquet(f"{DATA}/labels.parquet").where("toxic = 1").collect()}
+    clean = [i for i, t in texts["start"].items() if i not in toxic and not re.search("idiot|moron|stupid|scum|loser|pathetic|worthless|trash|clown|disgusting", t)]
     assert sum(i in texts["toxicity"] for i in clean) >= 0.97 * len(clean)
     before = [(i, t, source[i]) for i, t in texts["toxicity"].items()]
     assert texts["line_dedup"] == brute_lines(before, 3)
