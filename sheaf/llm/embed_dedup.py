@@ -107,7 +107,7 @@ def link_vectors(
     rows_per_cell: int = 512,
     max_cells: int = 4096,
     max_sample_numbers: int = 4_000_000,
-    margin: float = 4.0,
+    margin: float = 3.0,
     seed: int = 3,
 ) -> DataFrame:
     """One row per row of ``df``: (vec_id, n_links, component_id, kept).
