@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "_id long, _created long, _updated long, _deleted boolean"
@@ -18,7 +18,7 @@ def read_lines(spark: SparkSession, path: str, whole_files: bool = True) -> Data
     a file.
     """
     if whole_files:
-        raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+        raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
         lines = raw.select("file", F.posexplode(F.split("value", "\n", -1)).alias("line", "value"))
         return lines.select("file", (F.col("line") + 1).cast("long").alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("row"))
@@ -28,11 +28,14 @@ def read_lines(spark: SparkSession, path: str, whole_files: bool = True) -> Data
 def read_log(spark: SparkSession, path: str, warn: bool = True) -> DataFrame:
     """(_seq, _id, _created, _updated, _deleted, doc) of every readable version.
 
-    Blank lines are skipped; so are lines that aren't JSON objects, with a
+    Files follow each other by name. Blank lines are skipped; so are lines that aren't JSON objects, with a
     RuntimeWarning that says how many there were. ``doc`` is VARIANT without
     the metadata keys' meaning taken away from it.
     """
-    lines = read_lines(spark, path).where(F.trim("value") != "")
+    lines = read_lines(spark, path)
+    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    sizes = lines.groupBy("file").agg(F.max("line").alias("n")).select("file", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    lines = lines.where(F.trim("value") != "").join(sizes, "file").withColumn("line", F.col("ahead") + F.col("line")).drop("ahead")
     parsed = lines.withColumn("doc", F.try_parse_json("value"))
     is_object = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))
     if warn and (bad := parsed.where(~is_object).count()):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheaf import DuplicateIndexError, EncryptionError, Field, RecordNotFoundError, Schema, SchemaValidationError, Store, TransactionError
-from sheaf.sources.manifest import CommitLog, following
+from sheaf.sources.manifest import CommitLog, DataFile, following
 
 
 @pytest.fixture
@@ -219,6 +219,21 @@ def test_two_processes_never_share_an_id(tmp_path):
     assert len(set(got)) == 40
 
 
+def test_manifests_hold_changes(tmp_path):
+    log = CommitLog(tmp_path / "log")
+    files = [DataFile(f"f{i}", 1, 1, i, i) for i in range(80)]
+    for i in range(80):
+        now = log.latest()
+        kept = now.files if i % 10 else now.files[-1:]  # now and then a compaction
+        assert log.publish(following(now, files=(*kept, files[i]), next_id=i + 2))
+    assert not log.publish(following(log.read(79)))
+    fresh = CommitLog(tmp_path / "log")
+    assert fresh.latest() == log.latest() and [f.path for f in fresh.latest().files] == ["f69", *(f"f{i}" for i in range(70, 80))]
+    assert [f.path for f in fresh.read(35).files] == ["f29", *(f"f{i}" for i in range(30, 35))]
+    assert fresh.forget(80) == 64 and CommitLog(tmp_path / "log").latest() == log.latest()
+    assert max(p.stat().st_size for p in (tmp_path / "log").glob("*.json")) < 1500
+
+
 def test_crash_before_publishing(store, monkeypatch):
     c = store.collection("c")
     c.create(n=1)
