@@ -33,8 +33,11 @@ from sheaf.llm._shared import table, text_or_empty
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 SHINGLE = 5
-#: Half-windows that are bounded together.
+#: Words whose half-windows are bounded together.
 WORDS_AT_ONCE = 100_000
+#: The table of bounds has a column a block: with 1 MB of items (some 150,000 words) it stays below 100 MB.
+MOST_BLOCKS = 256
+MOST_INDEX_BYTES = 1 << 20
 
 
 def words(text: str) -> list[str]:
@@ -64,7 +67,8 @@ def held(part: list[str], around: list[str]) -> float:
 class Index:
     """Block-max inverted index of the items: postings, impacts and block bounds."""
 
-    def __init__(self, items: list[tuple[int, str]], block_items: int = 4):
+    def __init__(self, items: list[tuple[int, str]], block_items: int | None = None):
+        block_items = block_items or max(4, -(-len(items) // MOST_BLOCKS))
         items = sorted((i, t) for i, t in items if words(t or ""))
         self.ids = [i for i, _ in items]
         self.parts = [question_answer(t) for _, t in items]
@@ -144,7 +148,7 @@ class Index:
                 yield k, self.ids[n], score, word, question, answer
 
 
-def build_indexes(benchmark: DataFrame, max_index_bytes: int = 16 << 20, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
+def build_indexes(benchmark: DataFrame, max_index_bytes: int = MOST_INDEX_BYTES, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
     """Indexes of at most ``max_index_bytes`` of item text each; more items give more passes over the corpus."""
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), text_or_empty(text_col).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -156,7 +160,7 @@ def build_indexes(benchmark: DataFrame, max_index_bytes: int = 16 << 20, id_col:
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text", max_index_bytes: int = 16 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text", max_index_bytes: int = MOST_INDEX_BYTES) -> DataFrame:
     """One row per (document, item) that leaks: doc_id, item_id, score, first_word, question_overlap, answer_overlap.
 
     Null or empty texts and items without words leak nothing; repeated rows
@@ -182,7 +186,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, ov
     return out
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, text_col: str = "text", max_index_bytes: int = 16 << 20) -> DataFrame:
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, text_col: str = "text", max_index_bytes: int = MOST_INDEX_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns kept."""
     spark = docs.sparkSession
     for index in build_indexes(benchmark, max_index_bytes):
