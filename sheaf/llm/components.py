@@ -1,6 +1,9 @@
 """Connected components of a graph of links, wholly on the executors.
 
-Alternating large-star and small-star steps (Kiveris et al., 2014): each
+Edges are first contracted where they lie: each task hangs the vertices of its
+own edges (``EDGES_PER_TASK`` at most) on the least vertex of their group, so
+a graph that fits one task is done at once. Larger graphs go on with
+alternating large-star and small-star steps (Kiveris et al., 2014): each
 vertex hangs its larger neighbours on the least vertex it knows, until every
 component is a star around its least vertex. The number of rounds grows with
 the logarithm of the longest chain. Each round is written to the shared
@@ -11,11 +14,45 @@ adaptive execution can split.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm._shared import Scratch
 
+EDGES_PER_TASK = 500_000
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least member of the group of each of n vertices, given edges between them."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)  # also the tree that each end hangs on
+        np.minimum.at(new, label[b], low)
+        while not np.array_equal(up := new[new], new):
+            new = up
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = list(batches)
+    if not parts:
+        return
+    edges = pd.concat(parts)
+    nodes, place = np.unique(np.r_[edges["u"].to_numpy(), edges["v"].to_numpy()], return_inverse=True)
+    root = least_labels(len(nodes), place[: len(edges)], place[len(edges) :])
+    hung = np.nonzero(root != np.arange(len(nodes)))[0]
+    yield pd.DataFrame({"u": nodes[hung], "v": nodes[root[hung]]})
+
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,21 +71,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, tag: str = "cc", edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
     """(node, component) of every vertex of ``edges`` (columns u, v, integers); component is its least vertex.
 
     Loops and rows with a null end are left out; without edges there are no rows.
     """
-    clean = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
-    now = scratch.keep(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{tag}0")
+    now = scratch.keep(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v"), f"{tag}0")
     state, k = None, 0
     while True:
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state or not seen[0]:
+        n, digest = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (n, digest) == state or not n:
             break
-        state, k = tuple(seen), k + 1
-        now = scratch.keep(_small_star(_large_star(now)), f"{tag}{k}")
+        state, k = (n, digest), k + 1
+        tasks = -(-n // edges_per_task)
+        local = now.coalesce(tasks).mapInPandas(_contract, "u long, v long")
+        now = scratch.keep(local if tasks == 1 else _small_star(_large_star(local)), f"{tag}{k}")
         scratch.drop(f"{tag}{k - 1}")
+        if tasks == 1:
+            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm._shared import Scratch, table
-from sheaf.llm.components import components
+from sheaf.llm.components import components, least_labels
 
 BLOCK = 1024
 
@@ -86,19 +86,6 @@ def _block_links(rows: np.ndarray, cols: np.ndarray, same: bool, cosine: float)
     return np.nonzero(hit)
 
 
-def local_groups(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least member of each of n vertices' groups, given its edges."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def link_vectors(
     df: DataFrame,
     cosine: float = 0.9,
@@ -204,7 +191,7 @@ def _links(rows: DataFrame, centroids: np.ndarray, cosine: float, margin: float,
         order = np.argsort(ids, kind="stable")  # so that the least place is the least id
         rank = np.empty(len(ids), np.int64)
         rank[order] = np.arange(len(ids))
-        root = ids[order][local_groups(len(ids), rank[a], rank[b])[rank]]
+        root = ids[order][least_labels(len(ids), rank[a], rank[b])[rank]]
         return pd.DataFrame({"id": ids[hit], "links": links[hit].astype(np.int64), "root": root[hit]})
 
     return tasks.groupBy("cell", "i", "j").applyInPandas(multiply, "id long, links long, root long")

@@ -8,18 +8,20 @@ bucket of a table if those short sequences are equal, which needs the same
 k-mers in the same order. That makes the sketch sensitive to edit similarity
 and not just to shared vocabulary (Marcais et al., 2019).
 
-Similarity is s = L / (n + m - L) for k-mer sequences of n and m k-mers with a
-longest common subsequence of L: the Jaccard index of what an alignment can
-match in order. L >= s (n + m) / (1 + s) bounds how far off the diagonal an
+Similarity is s = L / (n + m - L) for texts of n and m distinct k-mers, in the
+order of their first occurrences, with a longest common subsequence of L: the
+Jaccard index of what an alignment can match in order. L >= s (n + m) / (1 + s) bounds how far off the diagonal an
 alignment can go, so only that band is searched, by bit-parallel rows.
 
 Texts with equal word sequences are one class from the start. Members of a
-bucket are compared with a few representatives of the bucket (least and
-greatest under two hash orders that differ by table), never all with all:
-the comparisons of a bucket grow linearly with it. Buckets of up to about four
-texts are compared in full. Links close into components; then, in further
-rounds, members of a bucket that spans several components are compared with
-the best linked members of those components, until a round finds nothing new.
+bucket are compared with three representatives of the bucket (least and
+greatest under one hash order, least under another that differs by table),
+never all with all: the comparisons of a bucket grow linearly with it. Buckets
+of up to about three texts are compared in full. Links close into components;
+then, in further rounds, members of a bucket that spans several components are
+compared with the bucket's hubs in other components (the member with most
+links, and the one most alike to what it links with), until a round finds
+nothing new.
 """
 
 from __future__ import annotations
@@ -79,6 +81,12 @@ def kmers(words: list[str]) -> np.ndarray:
     return out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Each element once, in the order of first occurrences."""
+    _, at = np.unique(x, return_index=True)
+    return x[np.sort(at)]
+
+
 def occurrences(x: np.ndarray) -> np.ndarray:
     """How often each element stood before."""
     order = np.argsort(x, kind="stable")
@@ -193,7 +201,7 @@ def similarity_of(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> fl
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, tables: int = TABLES, minima: int = MINIMA) -> DataFrame:
-    """(doc, d1, d2, n, sig, keys) of every row: digest of its words, number of k-mers, both sketches."""
+    """(doc, d1, d2, n, sig, keys) of every row: digest of its words, number of distinct k-mers, both sketches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -202,7 +210,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, tables: int = TABLES,
                 words = WORD.findall(t.lower())
                 x = kmers(words)
                 d = xxhash.xxh3_128_digest(" ".join(words))
-                rows.append((int.from_bytes(d[:8], signed=True), int.from_bytes(d[8:], signed=True), len(x), signature(x), sketch(x, tables, minima)))
+                rows.append((int.from_bytes(d[:8], signed=True), int.from_bytes(d[8:], signed=True), len(distinct(x)), signature(x), sketch(x, tables, minima)))
             out = pd.DataFrame(rows, columns=["d1", "d2", "n", "sig", "keys"])
             out.insert(0, "doc", pdf["doc"].array)
             yield out
@@ -224,7 +232,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
                     known.clear()
                 for k, t in ((a, ta), (b, tb)):
                     if k not in known:
-                        known[k] = kmers(WORD.findall(t.lower()))
+                        known[k] = distinct(kmers(WORD.findall(t.lower())))
                 s.append(similarity_of(known[a], known[b], similarity))
             out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": np.array(s, float)})
             yield out[out["similarity"] > 0]
@@ -260,14 +268,14 @@ def near_duplicates(
         named.groupBy("d1", "d2").agg(F.min("doc").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "classes"
     )
     buckets = classes.select("id", "n", F.posexplode("keys").alias("t", "key"))
-    order = [F.xxhash64(F.lit(s), "t", "id") for s in (11, 12)]
-    who = [F.struct(h.alias("h"), "id", "n") for h in order]
+    # two representatives by an order that all tables share, so that a group meets the same ones, and one by the table's own
+    shared_order, own_order = (F.struct(h.alias("h"), "id", "n") for h in (F.xxhash64(F.lit(11), "id"), F.xxhash64(F.lit(12), "t", "id")))
     shared = (
         buckets.groupBy("t", "key")
-        .agg(F.count(F.lit(1)).alias("size"), *[f(w).alias(f"r{i}") for i, (f, w) in enumerate(((F.min, who[0]), (F.max, who[0]), (F.min, who[1]), (F.max, who[1])))])
+        .agg(F.count(F.lit(1)).alias("size"), F.min(shared_order).alias("r0"), F.max(shared_order).alias("r1"), F.min(own_order).alias("r2"))
         .where("size > 1")
     )
-    reps = F.array_distinct(F.transform(F.array("r0", "r1", "r2", "r3"), lambda r: F.struct(r["id"].alias("id"), r["n"].alias("n"))))
+    reps = F.array_distinct(F.transform(F.array("r0", "r1", "r2"), lambda r: F.struct(r["id"].alias("id"), r["n"].alias("n"))))
     met = scratch.keep(buckets.join(shared.select("t", "key", reps.alias("reps")), ["t", "key"]), "met")
     small, large = F.least("n", "m"), F.greatest("n", "m")
     candidates = (
@@ -291,19 +299,25 @@ def near_duplicates(
     groups = scratch.keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "cc0_"), "groups0")
     tried = candidates
     for k in range(1, rounds):
-        degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+        ends = links.select(F.col("a").alias("id"), "similarity").union(links.select(F.col("b").alias("id"), "similarity"))
+        ends = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.avg("similarity").alias("mean"))
         state = (
-            classes.select("id").join(degree, "id", "left").join(groups, F.col("id") == F.col("node"), "left")
-            .select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("component", "id").alias("component"))
+            classes.select("id").join(ends, "id", "left").join(groups, F.col("id") == F.col("node"), "left")
+            .select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.when(F.col("degree") >= 3, F.col("mean")).otherwise(F.lit(0.0)).alias("mean"), F.coalesce("component", "id").alias("component"))
+        )
+        placed = scratch.keep(met.select("t", "key", "id", "n").join(state, "id"), f"placed{k}")
+        # the hubs of each bucket that spans components: the member with most links, and the one that is most alike to its own
+        hubs = (
+            placed.groupBy("t", "key")
+            .agg(F.max(F.struct("degree", "id", "n", "component")).alias("h0"), F.max(F.struct("mean", "id", "n", "component")).alias("h1"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+            .where("lo <> hi")
+            .select("t", "key", F.array(*[F.struct(f"{h}.id", f"{h}.n", f"{h}.component") for h in ("h0", "h1")]).alias("hubs"))
         )
-        placed = met.select("t", "key", "id", "n").join(state, "id")
-        # the best linked member of each bucket, and the best of those outside its component
-        best = placed.groupBy("t", "key").agg(F.max(F.struct("degree", "id", "n", "component")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("t", "key", "hub")
-        open_rows = placed.join(best, ["t", "key"])
         fresh = (
-            open_rows.where("component <> hub.component")
+            placed.join(hubs, ["t", "key"]).select("id", "n", "component", F.explode("hubs").alias("hub"))
+            .where("component <> hub.component")
             .select("id", "n", F.col("hub.id").alias("other"), F.col("hub.n").alias("m"))
-            .where((F.col("id") != F.col("other")) & (small >= similarity * large))
+            .where(small >= similarity * large)
             .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         )
         fresh = scratch.keep(fresh.join(tried, ["a", "b"], "left_anti"), f"fresh{k}")

@@ -11,7 +11,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sheaf.llm import bpe, cotrain, decontaminate, embed_dedup, order_minhash, secret_scan, toxicity, url_filter
+from sheaf.llm import bpe, components, cotrain, decontaminate, embed_dedup, order_minhash, secret_scan, toxicity, url_filter
 
 # --- URL digests
 
@@ -224,8 +224,8 @@ def test_cells_cover_neighbours():
     assert np.mean(met) >= 0.995
 
 
-def test_local_groups():
-    assert embed_dedup.local_groups(6, np.array([5, 3, 4]), np.array([3, 1, 0])).tolist() == [0, 1, 2, 1, 0, 1]
+def test_least_labels():
+    assert components.least_labels(6, np.array([5, 3, 4]), np.array([3, 1, 0])).tolist() == [0, 1, 2, 1, 0, 1]
 
 
 # --- classifiers
