@@ -47,14 +47,14 @@ SIMILARITY = 0.8
 BINS = 128
 _MIX1, _MIX2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 #: Labelled k-mers times tables that are hashed at once.
-CELLS_AT_ONCE = 1 << 20
+CELLS_AT_ONCE = 1 << 18
 
 
 class _WordHash(dict):
     """Digest of each word met, forgotten when too many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
