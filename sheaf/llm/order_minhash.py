@@ -20,12 +20,18 @@ never all with all: the comparisons of a bucket grow linearly with it. Buckets
 of up to about three texts are compared in full. Links close into components;
 then, in further rounds, members of a bucket that spans several components are
 compared with the bucket's hubs in other components (the member with most
-links, and the one most alike to what it links with), until a round finds
-nothing new.
+links, and the one most alike to what it links with), which joins most groups
+cheaply. What is left is exact: all members of buckets of more than three
+texts that still span components meet by prefix filtering. Two sets of n k-mers
+with a Jaccard index of s share one of the first n - ceil(s n) + 1 in any order
+common to all; with the rarest first, texts of one template meet only where
+more than the template agrees. Every pair of different components that meets
+is verified, so no pair that shares a bucket is left out.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -46,6 +52,8 @@ SIMILARITY = 0.8
 #: Bins of the one-permutation sketch that sorts out hopeless candidates.
 BINS = 128
 _MIX1, _MIX2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
+#: Counters that rank k-mers by how common they are; k-mers may share one, which costs candidates but no link.
+COUNTERS = 1 << 20
 #: Labelled k-mers times tables that are hashed at once.
 CELLS_AT_ONCE = 1 << 18
 
@@ -240,6 +248,64 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return pairs.select("a", "b").join(one, "a").join(two, "b").mapInPandas(run, "a long, b long, similarity double")
 
 
+def _counter(x: np.ndarray) -> np.ndarray:
+    return (_mix(x) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def prefix(x: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest k-mers of the distinct ``x``, one of which any set of that Jaccard index has in its own prefix too, and their ranks in ``x``.
+
+    ``common`` counts texts by counter. A k-mer alone on its counter stands in no other text and is left out.
+    """
+    n = common[_counter(x)]
+    order = np.lexsort((x, n))[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]
+    rank = np.nonzero(n[order] > 1)[0]
+    return x[order[rank]], rank
+
+
+def postings(texts: DataFrame, similarity: float) -> DataFrame:
+    """(kmer, rank, id, component, n) of every text's prefix; ``texts``: (id, component, text)."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(COUNTERS, np.int64)
+        for pdf in batches:
+            for t in pdf["text"]:
+                np.add.at(total, _counter(np.unique(kmers(WORD.findall(t.lower())))), 1)
+        at = np.nonzero(total)[0]
+        yield pd.DataFrame({"at": at, "n": total[at]})
+
+    counts = texts.select("text").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    common = np.ones(COUNTERS, np.int64)
+    common[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(common)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [np.unique(kmers(WORD.findall(t.lower()))) for t in pdf["text"]]
+            heads = [prefix(x, shared.value, similarity) for x in sets]
+            times = [len(h) for h, _ in heads]
+            yield pd.DataFrame({
+                "kmer": np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in heads)]).view(np.int64), "rank": np.concatenate([np.zeros(0, np.int64), *(r for _, r in heads)]), "id": np.repeat(pdf["id"].to_numpy(np.int64), times),
+                "component": np.repeat(pdf["component"].to_numpy(np.int64), times), "n": np.repeat(np.array([len(x) for x in sets], np.int64), times),
+            })
+
+    return texts.mapInPandas(first, "kmer long, rank long, id long, component long, n long")
+
+
+def meetings(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: the pairs of texts that share a k-mer of ``postings`` and not a component.
+
+    If that is the first k-mer they share, nothing rarer counts for their
+    overlap; where the rest is too short for an alignment, they don't meet.
+    """
+    spans = prefixes.groupBy("kmer").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("kmer")
+    some = prefixes.join(spans, "kmer", "left_semi")
+    one = some.select("kmer", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), (F.col("n") - F.col("rank")).alias("ra"))
+    two = some.select("kmer", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), (F.col("n") - F.col("rank")).alias("rb"))
+    fits = F.least("ra", "rb") >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9
+    return one.join(two, (one["kmer"] == two["kmer"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     similarity: float = SIMILARITY,
@@ -327,6 +393,17 @@ def near_duplicates(
         tried = scratch.keep(tried.union(fresh), f"tried{k}")
         links = links.union(new)
         groups = scratch.keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, f"cc{k}_"), f"groups{k}")
+    # buckets of up to three texts were compared in full; of larger ones, pairs between components may be left
+    state = classes.select("id").join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
+    open_ends = met.select("t", "key", "id").join(state, "id")
+    spans = open_ends.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 3 and lo <> hi").select("t", "key")
+    rest = scratch.keep(open_ends.join(spans, ["t", "key"], "left_semi").select("id", "component").distinct(), "rest")
+    prefixes = scratch.keep(postings(texts.join(rest, "id"), similarity), "prefixes")
+    left = scratch.keep(meetings(prefixes, similarity).join(tried, ["a", "b"], "left_anti"), "left")
+    new = links_of(left, "links_left")
+    if not new.isEmpty():
+        links = links.union(new)
+        groups = scratch.keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "cc_left_"), "groups_left")
     by_class = classes.select("d1", "d2", "id").join(groups, F.col("id") == F.col("node"), "left").select("d1", "d2", F.col("id").alias("text_class"), F.coalesce("component", "id").alias("class_id"))
     of_id = named.select("doc", "d1", "d2").join(by_class, ["d1", "d2"]).groupBy("doc").agg(F.min("class_id").alias("class_id"), F.min("text_class").alias("text_class"))
     members = docs.select(F.col(id_col).cast("long").alias("doc_id")).join(of_id, F.col("doc_id") == F.col("doc"), "left").select(

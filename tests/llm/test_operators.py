@@ -167,6 +167,21 @@ def test_near_duplicates(spark):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in members.collect())
 
 
+def test_near_duplicates_in_crowded_buckets(spark):
+    """Two texts of a large template family that only link with each other, and not with the rest of it."""
+    rng = random.Random(12)
+    template = words(rng, 504, 10**6).split()
+
+    def edited(places):
+        return " ".join(f"x{rng.randrange(10**9)}" if k in places else w for k, w in enumerate(template))
+
+    rows = [(k, edited(set(rng.sample(range(10, 490), 12)))) for k in range(700)]
+    rows[300], rows[301] = (300, edited({20, 120, 220, 320, 420})), (301, edited({70, 170, 270, 370, 470}))
+    assert brute_classes(rows[290:310]) == {k: 300 if k == 301 else k for k in range(290, 310)}
+    members, _ = order_minhash.near_duplicates(docs_frame(spark, [(i, t, "s") for i, t in rows]))
+    assert {r["doc_id"]: r["class_id"] for r in members.collect()} == {k: 300 if k == 301 else k for k in range(700)}
+
+
 def test_keep_one(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(4, text, "a"), (2, text, "b"), (2, text, "b"), (None, text, "c"), (9, "other words that nobody else has here", "d"), (7, None, "e"), (8, "", "e")]
