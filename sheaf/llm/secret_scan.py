@@ -7,7 +7,7 @@ further priced by how many guesses an attacker would need: a dynamic program
 finds the cheapest segmentation of the value into dictionary words, dates,
 repeats, keyboard walks and brute-force spans. A value whose cost reaches
 ``min_log10_guesses`` is a secret that was generated rather than written, and
-gets a span of the kind ``guess`` unless a base span covers it already.
+gets a span of the kind ``guess`` unless base spans cover all of it already.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Contexts of the guess-cost method; the value is anything up to white space or a quote.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:password|passwd|passphrase|pass|pwd|secret|token|api_?key|credentials?|auth|private_?key)["']?\x20*[:=]\x20*["']?([^\s"'`<>]{8,512})""",
+    r"""(?<![A-Za-z])(?:password|passwd|passphrase|pass|pwd|secret|token|api_?key|credentials?|auth|private_?key)["']?\x20*[:=]\x20*["']?([^\s"'`<>]{8,})""",
     re.ASCII | re.IGNORECASE,
 )
 _HINT = re.compile(r"pass|pwd|secret|token|key|cred|auth", re.ASCII | re.IGNORECASE)
@@ -62,13 +62,30 @@ def _neighbours(a: str, b: str) -> bool:
     return bool(x and y) and abs(x[0] - y[0]) <= 1 and abs(x[1] - y[1]) <= 1 and x != y
 
 
+def _runs(n: int, holds) -> list[int]:
+    """For each of n positions, at how many in a row from it on ``holds`` is true."""
+    out = [0] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        if holds(i):
+            out[i] = out[i + 1] + 1
+    return out[:n]
+
+
+def _covered(start: int, end: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether the sorted ``spans`` together cover all from ``start`` to ``end``."""
+    for a, b in spans:
+        if a <= start < b:
+            start = b
+    return start >= end
+
+
 def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses that ``value`` needs, and the cheapest segmentation.
 
     Costs add over segments; each further segment costs a factor of two for
     the attacker's not knowing where it begins. Only spans of bounded length
     are tried for words and dates; repeats and walks extend as far as they go,
-    so the work is linear in the value's length.
+    to ends found in one pass, so the work is linear in the value's length.
     """
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
@@ -82,6 +99,13 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
         if cost < best[j][0]:
             best[j] = (cost, i, kind)
 
+    # how long each position repeats what stands ``period`` before, where walks end, and turns of walks up to a position
+    again = {period: _runs(n, lambda i, period=period: i + period < n and value[i] == value[i + period]) for period in (1, 2, 3, 4)}
+    near = _runs(n, lambda i: i + 1 < n and _neighbours(low[i], low[i + 1]))
+    steps = {step: _runs(n, lambda i, step=step: i + 1 < n and ord(value[i + 1]) - ord(value[i]) == step) for step in (1, -1)}
+    turned = [0]
+    for i in range(n - 1):
+        turned.append(turned[-1] + (near[i] > 0 and _WHERE[low[i]][0] != _WHERE[low[i + 1]][0]))
     for i in range(n):
         # brute force continues a span without paying for a new one
         cost = best[i][0] + brute + (0.0 if best[i][2] == "brute" or not i else join)
@@ -96,24 +120,16 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
         for end in {m.end() for m in [_DATE.match(value, i)] if m}:
             offer(i, end, math.log10(365 * 120), "date")
         for period in (1, 2, 3, 4):
-            unit, j = value[i : i + period], i + period
-            while len(unit) == period and value.startswith(unit, j):
-                j += period
+            j = i + period + again[period][i] // period * period
             if j > i + period and j - i >= 3:
                 offer(i, j, period * brute + math.log10((j - i) / period + 1), "repeat")
-        j = i + 1
-        while j < n and _neighbours(low[j - 1], low[j]):
-            j += 1
+        j = i + 1 + near[i]
         if j - i >= 4:
-            turns = sum(_WHERE[low[k]][0] != _WHERE[low[k + 1]][0] for k in range(i, j - 1))
-            offer(i, j, math.log10(47 * (j - i) * 4.0 ** (turns + 1)), "walk")
-        step = ord(value[i + 1]) - ord(value[i]) if i + 1 < n else 0
-        if step in (1, -1):
-            j = i + 1
-            while j + 1 < n and ord(value[j + 1]) - ord(value[j]) == step:
-                j += 1
-            if j + 1 - i >= 3:
-                offer(i, j + 1, math.log10(62 * (j + 1 - i)), "walk")
+            turns = turned[j - 1] - turned[i]
+            offer(i, j, math.log10(47 * (j - i)) + (turns + 1) * math.log10(4), "walk")
+        length = 1 + max(steps[1][i], steps[-1][i])
+        if length >= 3:
+            offer(i, i + length, math.log10(62 * length), "walk")
     parts, at = [], n
     while at:
         parts.append((best[at][2], best[at][1], at))
@@ -136,12 +152,12 @@ def find_spans(text: str, min_log10_guesses: float = 11.0) -> tuple[list[tuple[s
     base += [("hex", *m.span()) for m in HEX.finditer(text)]
     added, costs = [], []
     if hinted:
-        held = [(a, b) for _, a, b in base]
+        held = sorted((a, b) for _, a, b in base)
         for m in CONTEXT.finditer(text):
             start, end = m.span(1)
             value = m.group(1).rstrip(".,;:!?)]}")
             end = start + len(value)
-            if len(value) < 8 or any(a < end and start < b for a, b in held):
+            if len(value) < 8 or _covered(start, end, held):
                 continue
             cost, _ = guess_cost(value)
             if cost >= min_log10_guesses:

@@ -74,6 +74,20 @@ def test_added_spans():
     assert [s[0] for s in spans] == ["guess", "guess"] and all(c >= 11 for c in costs)
 
 
+def test_values_partly_in_base_spans():
+    for value in ("Summer202401!x#9$kQ2vLm%7", "AAAABBBBCCCC%2Fx9Qv!Lm", "!kQ2v#0123456789abcdef$Zx8!kQ2#vB"):
+        text = f"see password={value} there"
+        assert ("guess", 13, 13 + len(value)) in secret_scan.find_spans(text)[1]
+    assert [s[0] for s in secret_scan.find_spans("password=abcdefghijklmnop.")[1]] == ["assign"]
+
+
+def test_long_values():
+    value = "%2F" + "qx" * 300 + "!x#9$kQ2vLm%7Zq"
+    assert secret_scan.find_spans(f"secret={value} there")[1] == [("guess", 7, 7 + len(value))]
+    assert secret_scan.guess_cost("a" * 20_000)[0] < 10 and secret_scan.guess_cost("qa" * 2_000)[0] < 10
+    assert secret_scan.guess_cost("qazwsx" * 1_000)[1][-1][2] == 6_000
+
+
 # --- BPE
 
 
