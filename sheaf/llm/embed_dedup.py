@@ -3,14 +3,14 @@
 Equal vectors are one class from the start, so copies cost nothing. Centroids
 are fitted on a bounded sample; every vector goes to its nearest centroid's
 cell as a resident and, as a guest, to further cells in which a vector at the
-link cosine might be a resident: those where its lead over the other centroid
-is within ``margin`` standard deviations of what a step to such a neighbour
-changes (a random direction; pairs with worse luck than that are missed, and
-the tests measure how many are). A guest only visits cells of a lower number
-than its own, so no pair is met twice. Cells are cut into blocks of bounded
-size; a task multiplies two blocks in double precision, counts links per row
-and reports one edge per row to the least member of its local group, so its
-output is linear however dense the links are.
+link cosine might be a resident: all whose border with its own it can reach by
+a step of that angle, so no pair is missed. A guest only visits cells of a
+lower number than its own, so no pair is met twice. A few cells travel
+together, as a vector is then shipped once for all of them. They are cut into
+parts of bounded size; a task takes two, multiplies them in double precision
+block by block, counts links per row and reports one edge per row and block to
+the least member of its local group, so its output is linear however dense the
+links are.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from sheaf.llm._shared import Scratch, table
 from sheaf.llm.components import components, least_labels
 
 BLOCK = 1024
+#: Neighbouring numbers of cells that are placed as one, and blocks on a side of a task.
+TOGETHER = 4
 
 
 def fit_centroids(x: np.ndarray, k: int, seed: int = 3, rounds: int = 12) -> np.ndarray:
@@ -49,15 +51,22 @@ def unit_rows(raw: list[bytes], dtype: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def cells_of(x: np.ndarray, c: np.ndarray, cosine: float, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Home cell of each row, and (row, cell) of its visits as a guest."""
+def cells_of(x: np.ndarray, c: np.ndarray, cosine: float, margin: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Home cell of each row, and (row, cell) of its visits as a guest.
+
+    A border is the plane where two centroids score alike; a vector's angle to
+    it has the sine lead / gap. ``margin`` narrows the visits to what a random
+    step of so many standard deviations reaches, and loses pairs.
+    """
     s = x @ c.T
     home = np.argmax(s, axis=1)
     dots = c @ c.T
     gap = np.sqrt(np.maximum(2 - 2 * dots[home], 0))  # distance of each centroid from the home one
     lead = s[np.arange(len(x)), home][:, None] - s
-    swing = math.sqrt(1 - cosine * cosine) * gap / math.sqrt(max(1, x.shape[1] - 1))
-    visit = (cosine * lead <= margin * swing) & (np.arange(len(c))[None, :] < home[:, None])
+    step = math.sqrt(max(0.0, 1 - cosine * cosine)) if cosine > 0 else 1.0
+    visit = (lead <= step * gap + 1e-6) & (np.arange(len(c))[None, :] < home[:, None])
+    if margin is not None:
+        visit &= cosine * lead <= margin * step * gap / math.sqrt(max(1, x.shape[1] - 1))
     return home, *np.nonzero(visit)
 
 
@@ -86,6 +95,23 @@ def _block_links(rows: np.ndarray, cols: np.ndarray, same: bool, cosine: float)
     return np.nonzero(hit)
 
 
+def _block_edges(one: tuple[np.ndarray, np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray, np.ndarray], same: bool, cosine: float) -> pd.DataFrame:
+    """(id, links, root) of the rows of two blocks (vectors, ids, copies) that link."""
+    a, b = _block_links(one[0], two[0], same, cosine)
+    ids = one[1] if same else np.r_[one[1], two[1]]
+    n = one[2] if same else np.r_[one[2], two[2]]
+    b = b if same else b + len(one[1])
+    links = np.bincount(a, n[b], len(ids))
+    if not same:
+        links = links + np.bincount(b, n[a], len(ids))
+    hit = np.nonzero(links)[0]
+    order = np.argsort(ids, kind="stable")  # so that the least place is the least id
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    root = ids[order][least_labels(len(ids), rank[a], rank[b])[rank]]
+    return pd.DataFrame({"id": ids[hit], "links": links[hit].astype(np.int64), "root": root[hit]})
+
+
 def link_vectors(
     df: DataFrame,
     cosine: float = 0.9,
@@ -94,7 +120,7 @@ def link_vectors(
     rows_per_cell: int = 512,
     max_cells: int = 4096,
     max_sample_numbers: int = 4_000_000,
-    margin: float = 3.0,
+    margin: float | None = None,
     seed: int = 3,
 ) -> DataFrame:
     """One row per row of ``df``: (vec_id, n_links, component_id, kept).
@@ -102,7 +128,8 @@ def link_vectors(
     Vectors that are null, empty, zero or hold a null or non-finite component
     link with nothing, and vectors of different lengths don't link with each
     other. Rows with a null id have no links and no component and aren't kept.
-    Repeated rows link with each other. An empty table gives no rows.
+    Repeated rows link with each other. An empty table gives no rows. A
+    ``margin`` saves work and loses links, see ``cells_of``.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -141,7 +168,7 @@ def link_vectors(
     )
 
 
-def _links(rows: DataFrame, centroids: np.ndarray, cosine: float, margin: float, dtype: str, scratch: Scratch, dim: int) -> DataFrame:
+def _links(rows: DataFrame, centroids: np.ndarray, cosine: float, margin: float | None, dtype: str, scratch: Scratch, dim: int) -> DataFrame:
     """(id, links, root) per row and block pair with links: how many (copies counted), and a member of its group."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(centroids)  # max_cells rows at most
@@ -152,23 +179,25 @@ def _links(rows: DataFrame, centroids: np.ndarray, cosine: float, margin: float,
             if not len(pdf):
                 continue
             home, row, cell = cells_of(unit_rows(pdf["v"].tolist(), dtype), c, cosine, margin)
+            home, cell = home // TOGETHER, cell // TOGETHER
+            row, cell = np.unique(np.c_[row, cell][cell < home[row]], axis=0).T
             at = np.r_[np.arange(len(pdf)), row]
             yield pd.DataFrame({"cell": np.r_[home, cell].astype(np.int64), "guest": np.r_[np.zeros(len(pdf), bool), np.ones(len(row), bool)], "id": pdf["id"].to_numpy()[at], "n": pdf["n"].to_numpy()[at], "v": pdf["v"].to_numpy()[at]})
 
     placed = scratch.keep(rows.mapInPandas(place, "cell long, guest boolean, id long, n long, v binary"), f"placed{dim}")
     sizes = (
         placed.groupBy("cell").agg(F.sum((~F.col("guest")).cast("int")).alias("own"), F.sum(F.col("guest").cast("int")).alias("guests"))
-        .select("cell", F.ceil(F.col("own") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("guests") / BLOCK).cast("int").alias("ng"))
+        .select("cell", F.ceil(F.col("own") / (TOGETHER * BLOCK)).cast("int").alias("nb"), F.ceil(F.col("guests") / (TOGETHER * BLOCK)).cast("int").alias("ng"))
         .where("nb > 0")
     )
-    block = F.pmod(F.xxhash64("id"), F.when(F.col("guest"), F.col("ng")).otherwise(F.col("nb"))).cast("int")
-    # a pair of blocks is (i, j) with i <= j among the residents, or (i, nb + g) with a block of guests
-    pairs = F.when(F.col("guest"), F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.struct(i.alias("i"), (F.col("nb") + F.col("block")).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("nb") + F.col("ng") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
+    part = F.pmod(F.xxhash64("id"), F.when(F.col("guest"), F.col("ng")).otherwise(F.col("nb"))).cast("int")
+    # a pair of parts is (i, j) with i <= j among the residents, or (i, nb + g) with a part of guests
+    pairs = F.when(F.col("guest"), F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.struct(i.alias("i"), (F.col("nb") + F.col("part")).alias("j")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("nb") + F.col("ng") - 1), lambda j: F.struct(F.least(F.col("part"), j).alias("i"), F.greatest(F.col("part"), j).alias("j")))
     )
     tasks = (
-        placed.join(F.broadcast(sizes), "cell").withColumn("block", block).withColumn("pair", F.explode(pairs))
-        .select("cell", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), (F.col("guest") | (F.col("block") != F.col("pair.i"))).alias("second"), "id", "n", "v")
+        placed.join(F.broadcast(sizes), "cell").withColumn("part", part).withColumn("pair", F.explode(pairs))
+        .select("cell", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), (F.col("guest") | (F.col("part") != F.col("pair.i"))).alias("second"), "id", "n", "v")
     )
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -180,19 +209,9 @@ def _links(rows: DataFrame, centroids: np.ndarray, cosine: float, margin: float,
         if not len(one) or not len(two):
             return pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")
         x, y = unit_rows(one["v"].tolist(), dtype), unit_rows(two["v"].tolist(), dtype)
-        a, b = _block_links(x, y, same, cosine)
-        ids = one["id"].to_numpy() if same else np.r_[one["id"].to_numpy(), two["id"].to_numpy()]
-        n = one["n"].to_numpy() if same else np.r_[one["n"].to_numpy(), two["n"].to_numpy()]
-        b = b if same else b + len(one)
-        links = np.bincount(a, n[b], len(ids))
-        if not same:
-            links = links + np.bincount(b, n[a], len(ids))
-        hit = np.nonzero(links)[0]
-        order = np.argsort(ids, kind="stable")  # so that the least place is the least id
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
-        root = ids[order][least_labels(len(ids), rank[a], rank[b])[rank]]
-        return pd.DataFrame({"id": ids[hit], "links": links[hit].astype(np.int64), "root": root[hit]})
+        rows = [(x[k : k + BLOCK], one["id"].to_numpy()[k : k + BLOCK], one["n"].to_numpy()[k : k + BLOCK]) for k in range(0, len(one), BLOCK)]
+        cols = rows if same else [(y[k : k + BLOCK], two["id"].to_numpy()[k : k + BLOCK], two["n"].to_numpy()[k : k + BLOCK]) for k in range(0, len(two), BLOCK)]
+        return pd.concat([_block_edges(r, c, same and k == m, cosine) for k, r in enumerate(rows) for m, c in enumerate(cols) if not same or k <= m])
 
     return tasks.groupBy("cell", "i", "j").applyInPandas(multiply, "id long, links long, root long")
 

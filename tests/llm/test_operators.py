@@ -225,6 +225,16 @@ def test_embeddings(spark):
     assert embed_dedup.link_vectors(frame.limit(0)).count() == 0
 
 
+def test_embeddings_along_a_drift(spark):
+    rng = np.random.default_rng(13)
+    angle = rng.uniform(0, np.pi, 500)
+    x = np.c_[np.cos(angle), np.sin(angle), 0.02 * rng.normal(size=(500, 62))]
+    frame = spark.createDataFrame([(k, list(map(float, v))) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert {r["vec_id"]: r["n_links"] for r in embed_dedup.link_vectors(frame, rows_per_cell=25).collect()} == dict(enumerate(want.tolist()))
+
+
 # --- secrets
 
 

@@ -238,6 +238,21 @@ def test_cells_cover_neighbours():
     assert np.mean(met) >= 0.995
 
 
+def test_cells_cover_neighbours_along_the_centroids():
+    """Neighbours that lie where another cell is, as in drifting topics, and not in a random direction."""
+    rng = np.random.default_rng(7)
+    c = np.linalg.qr(rng.normal(size=(48, 6)))[0].T
+    angle = np.sort(rng.uniform(0, np.pi / 2, 400))
+    to = rng.integers(0, 6, (400, 2))
+    x = np.cos(angle)[:, None] * c[to[:, 0]] + np.sin(angle)[:, None] * c[to[:, 1]]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    home, row, cell = embed_dedup.cells_of(x, c, 0.9)
+    visits = {(int(r), int(k)) for r, k in zip(row, cell, strict=True)}
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    assert (home[a] != home[b]).sum() > 100
+    assert all(home[i] == home[j] or (int(i), int(home[j])) in visits or (int(j), int(home[i])) in visits for i, j in zip(a, b, strict=True))
+
+
 def test_least_labels():
     assert components.least_labels(6, np.array([5, 3, 4]), np.array([3, 1, 0])).tolist() == [0, 1, 2, 1, 0, 1]
 
