@@ -7,9 +7,9 @@ holds the whole item scores 1. Items stand in blocks; for each term and block
 the index has the largest impact. A passage's sum of those maxima bounds its
 score for any item of the block, so a block whose bound is below the threshold
 is skipped whole; only in the others are items scored exactly. The bounds of
-all passages of a batch are summed at once in numpy. Every item at or above
-the threshold is retrieved, and is a leak if the text around the passage also
-holds the item's question and answer (five-word shingles, 0.8 or more).
+all passages of a batch are summed at once in numpy. Every passage at or above
+the threshold is retrieved, and is a leak if the text around it also holds the
+item's question and answer (five-word shingles, 0.8 or more).
 
 Passages are windows of two half-windows; a half is as long as the longest
 item, so each occurrence of an item lies whole in some window.
@@ -90,9 +90,9 @@ class Index:
                 self.bound[t, n // block_items] = max(self.bound[t, n // block_items], x)
 
     def retrieve(self, texts: list[str], threshold: float) -> Iterator[tuple[int, int, float, int, list[str]]]:
-        """(text, item, score, first word of the window, the text's words) of all pairs at or above the threshold.
+        """(text, item, score, first word of the window, the text's words) of all windows at or above the threshold.
 
-        Of the windows of one text that reach an item, that of the highest score.
+        By text and item, those of the highest score first.
         """
         if not self.ids:
             return
@@ -122,7 +122,7 @@ class Index:
         sums[half[at]] = np.add.reduceat(self.bound[term], at, axis=0)
         joint = sums[:-1] + sums[1:]
         joint[begin[1:] - 1] = sums[begin[1:] - 1]  # a text's last half stands alone
-        best: dict[tuple[int, int], tuple[float, int]] = {}
+        found: list[tuple[int, int, float, int]] = []
         owner = np.repeat(np.arange(len(bags)), n_halves)
         edge = np.r_[at, len(half)]
         of_half = {int(h): set(term[edge[i] : edge[i + 1]].tolist()) for i, h in enumerate(half[at])}
@@ -134,17 +134,21 @@ class Index:
             for n in range(block * self.block_items, min(len(self.ids), (block + 1) * self.block_items)):
                 own = self.impact[n]
                 score = sum(own[t] for t in own.keys() & inside)
-                if score >= threshold and score > best.get((k, n), (0.0, 0))[0]:
-                    best[k, n] = (score, int(h - begin[k]) * self.half)
-        for (k, n), (score, word) in sorted(best.items()):
-            yield first + k, n, score, word, bags[k]
+                if score >= threshold:
+                    found.append((k, n, -score, int(h - begin[k]) * self.half))
+        for k, n, score, word in sorted(found):
+            yield first + k, n, -score, word, bags[k]
 
     def leaks(self, texts: list[str], threshold: float, overlap: float) -> Iterator[tuple[int, int, float, int, float, float]]:
-        """(text, item id, score, first word, question overlap, answer overlap) of verified pairs."""
+        """(text, item id, score, first word, question overlap, answer overlap) of verified pairs, of each the first window that is verified."""
+        done = None
         for k, n, score, word, bag in self.retrieve(texts, threshold):
+            if (k, n) == done:
+                continue
             around = bag[max(0, word - self.half) : word + 3 * self.half]
             question, answer = (held(p, around) for p in self.parts[n])
             if question >= overlap and answer >= overlap or held(self.parts[n][0] + self.parts[n][1], around) >= overlap:
+                done = (k, n)
                 yield k, self.ids[n], score, word, question, answer
 
 

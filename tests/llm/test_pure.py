@@ -221,6 +221,21 @@ def test_index_finds_what_brute_force_finds():
     assert list(decontaminate.Index([]).leaks(["a b"], 0.5, 0.8)) == []
 
 
+def test_every_window_is_verified():
+    """A word list in front doesn't hide the item, or an edited copy of it, further on."""
+    rng = random.Random(11)
+    item = [f"t{i}" for i in range(40)]
+    text = " ".join(item[:30]) + ". " + " ".join(item[30:]) + "."
+    mixed = rng.sample(item, 40)
+    gap = [f"u{i}" for i in range(400)]
+    edited = item[:12] + ["new"] + item[13:]
+    index = decontaminate.Index([(1, text), (2, "other words stand here")])
+    for copy in (item, edited):
+        found = list(index.leaks([" ".join(mixed + gap + copy + gap)], 0.5, 0.8))
+        assert [(k, i) for k, i, *_ in found] == [(0, 1)] and 400 <= found[0][3] <= 480
+    assert list(index.leaks([" ".join(mixed + gap)], 0.5, 0.8)) == []
+
+
 # --- vectors
 
 
