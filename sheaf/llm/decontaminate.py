@@ -67,9 +67,9 @@ def held(part: list[str], around: list[str]) -> float:
 class Index:
     """Block-max inverted index of the items: postings, impacts and block bounds."""
 
-    def __init__(self, items: list[tuple[int, str]], block_items: int | None = None):
+    def __init__(self, items: list[tuple[int | None, str]], block_items: int | None = None):
         block_items = block_items or max(4, -(-len(items) // MOST_BLOCKS))
-        items = sorted((i, t) for i, t in items if words(t or ""))
+        items = sorted(((i, t) for i, t in items if words(t or "")), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
         self.ids = [i for i, _ in items]
         self.parts = [question_answer(t) for _, t in items]
         bags = [words(t) for _, t in items]
@@ -160,15 +160,16 @@ def build_indexes(benchmark: DataFrame, max_index_bytes: int = MOST_INDEX_BYTES,
     out = []
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("t"), F.lit(slices)) == k) if slices > 1 else items
-        out.append(Index([(r["i"], r["t"]) for r in part.where(F.col("i").isNotNull()).dropDuplicates(["i", "t"]).collect()]))
+        out.append(Index([(r["i"], r["t"]) for r in part.dropDuplicates(["i", "t"]).collect()]))
     return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text", max_index_bytes: int = MOST_INDEX_BYTES) -> DataFrame:
     """One row per (document, item) that leaks: doc_id, item_id, score, first_word, question_overlap, answer_overlap.
 
-    Null or empty texts and items without words leak nothing; repeated rows
-    give repeated results; other columns aren't read; empty tables give no rows.
+    Null or empty texts and items without words leak nothing; items with a null
+    id count like others, and their item_id is null; repeated rows give
+    repeated results; other columns aren't read; empty tables give no rows.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -183,7 +184,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, ov
                 found = list(shared.value.leaks(pdf["t"].tolist(), threshold, overlap))
                 keys = pdf["doc_id"].array.take([f[0] for f in found])
                 cols = list(zip(*found, strict=True))[1:] if found else [[]] * 5
-                yield pd.DataFrame({"doc_id": keys, **dict(zip(("item_id", "score", "first_word", "question_overlap", "answer_overlap"), map(list, cols), strict=True))})
+                out = pd.DataFrame({"doc_id": keys, **dict(zip(("item_id", "score", "first_word", "question_overlap", "answer_overlap"), map(list, cols), strict=True))})
+                yield out.assign(item_id=pd.array(list(cols[0]), dtype="Int64"))
 
         part = source.mapInPandas(run, schema)
         out = part if out is None else out.union(part)

@@ -267,6 +267,17 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0 and decontaminate.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_of_items_without_an_id(spark):
+    rng = random.Random(14)
+    items = [(None, words(rng, 30) + "."), (None, words(rng, 30) + "."), (2**62 + 1, words(rng, 30) + "."), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_frame(spark, [(k, words(rng, 50) + " " + t, "s") for k, (_, t) in enumerate(items[:3])] + [(3, items[0][1] + " " + items[1][1] + " " + items[2][1], "s"), (4, words(rng, 90), "s")])
+    for most in (1 << 20, 200):
+        got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, max_index_bytes=most).collect())
+        assert got == {(0, None): 1, (1, None): 1, (2, 2**62 + 1): 1, (3, None): 2, (3, 2**62 + 1): 1}
+        assert [r["doc_id"] for r in decontaminate.drop_leaking(docs, bench, max_index_bytes=most).collect()] == [4]
+
+
 # --- BPE
 
 
