@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,21 @@ from pyspark.sql import types as T
 from sheaf.errors import SchemaValidationError
 
 
+#: Spark types whose values are instances of a Python type once they are a record's.
+_SPARK_TYPES: dict[type, tuple[type[T.DataType], ...]] = {
+    str: (T.StringType,), bool: (T.BooleanType,), int: (T.IntegralType, T.BooleanType), float: (T.FractionalType,),
+    list: (T.ArrayType,), dict: (T.MapType, T.StructType), object: (T.DataType,),
+}
+
+
+def literal(value, kind: T.DataType | None = None) -> Column:
+    """A default as a column, of type ``kind`` if that is given; lists and dicts are else VARIANT."""
+    if isinstance(value, (list, dict, tuple)):
+        text = F.lit(json.dumps(value, ensure_ascii=False))
+        return F.parse_json(text) if kind is None or isinstance(kind, T.VariantType) else F.from_json(text, kind)
+    return F.lit(value) if kind is None or isinstance(kind, T.VariantType) else F.lit(value).cast(kind)
+
+
 class Field:
     """Rules for one field. A default (also None) makes the field optional."""
 
@@ -61,11 +77,25 @@ class Field:
             found.append(f"{name}: {message}")
         return found
 
-    def errors(self, name: str, kind: T.DataType) -> list[Column]:
-        """The same rules on a typed column: a rule's name where it is broken, else null."""
-        c, out = F.col(name), []
+    def fits(self, kind: T.DataType) -> bool:
+        """Whether values of a column of this type are of the wanted one; of VARIANT columns nothing is known."""
+        if self.type is None or isinstance(kind, (T.VariantType, T.NullType)):
+            return True
+        wanted = self.type if isinstance(self.type, tuple) else (self.type,)
+        return any(isinstance(kind, k) for t in wanted for k in _SPARK_TYPES.get(t, ()))
+
+    def errors(self, name: str, kind: T.DataType | None) -> list[Column]:
+        """The same rules on a typed column: a rule's name where it is broken, else null; ``kind`` is None for an absent column.
+
+        A wrong type hides the rules on values, as it does for single records.
+        """
+        if kind is None:
+            return [F.lit("required")] if self.required else []
+        c, out = F.col(f"`{name}`"), []
         if self.required and not self.nullable:
             out.append(F.when(c.isNull(), F.lit("required")))
+        if not self.fits(kind):
+            return [*out, F.when(c.isNotNull(), F.lit("type"))]
         if isinstance(kind, T.NumericType):
             if self.min_value is not None:
                 out.append(F.when(c < self.min_value, F.lit("min")))
@@ -80,7 +110,8 @@ class Field:
         if self.choices is not None:
             out.append(F.when(~c.isin(self.choices), F.lit("choices")))
         if self.validator is not None:
-            check = F.udf(lambda v, f=self.validator: (f(v) or None) if v is not None else None, "string")
+            # by Arrow batches; values keep their Python types, which pandas would change where there are nulls
+            check = F.udf(lambda v, f=self.validator: (f(v) or None) if v is not None else None, "string", useArrow=True)
             out.append(check(c))
         return out
 
@@ -106,14 +137,25 @@ class Schema:
             raise SchemaValidationError(found)
 
     def with_errors(self, frame: DataFrame, column: str = "errors") -> DataFrame:
-        """``frame`` with an array of the names of broken rules, in declaration order."""
-        tests = [e for n, f in self.fields.items() if n in frame.columns for e in f.errors(n, frame.schema[n].dataType)]
+        """``frame`` with an array of the names of broken rules, in declaration order; required fields that it has no column for count in every row."""
+        tests = [e for n, f in self.fields.items() for e in f.errors(n, frame.schema[n].dataType if n in frame.columns else None)]
         errors = F.filter(F.array(*tests), lambda x: x.isNotNull()) if tests else F.array().cast("array<string>")
         return frame.withColumn(column, errors)
 
     def fill_defaults(self, frame: DataFrame) -> DataFrame:
-        """Defaults for the nulls of typed columns, in which null and missing are one."""
-        return frame.withColumns({n: F.coalesce(F.col(n), F.lit(f.default)) for n, f in self.fields.items() if n in frame.columns and f.has_default and f.default is not None})
+        """Defaults for absent columns and for the nulls of typed ones, in which null and missing are one.
+
+        A default that doesn't fit a column's type isn't put there; the type's error tells.
+        """
+        new = {}
+        for n, f in self.fields.items():
+            if not f.has_default:
+                continue
+            if n not in frame.columns:
+                new[n] = literal(f.default)
+            elif f.default is not None and f.fits(frame.schema[n].dataType):
+                new[n] = F.coalesce(F.col(f"`{n}`"), literal(f.default, frame.schema[n].dataType))
+        return frame.withColumns(new)
 
     def __repr__(self) -> str:
         return f"Schema({', '.join(self.fields)})"

@@ -138,10 +138,10 @@ class VariantField:
         return F.coalesce(self.kind.rlike(f"^({'|'.join(kinds)})"), no())
 
     def is_number(self) -> Column:
-        return self._is("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+        return F.coalesce(self.kind.isin("BIGINT", "DOUBLE", "FLOAT") | self.kind.startswith("DECIMAL"), no())
 
     def is_integral(self) -> Column:
-        return F.coalesce((self.kind == "BIGINT") | self.kind.rlike(r"^DECIMAL\(\d+,0\)"), no())
+        return F.coalesce((self.kind == "BIGINT") | (self.kind.startswith("DECIMAL") & self.kind.endswith(",0)")), no())
 
     def is_string(self) -> Column:
         return F.coalesce(self.kind == "STRING", no())
@@ -165,11 +165,19 @@ class VariantField:
             return F.when(self.is_integral(), exact).otherwise(inexact)
         return inexact
 
+    def _small(self, t, apply) -> Column | None:
+        """``apply`` where the value is a 64-bit integer, the common case, with a plain comparison; None if ``t`` isn't one."""
+        if isinstance(t, int) and -_BEST <= t < _BEST:
+            return apply(self._get("bigint"), F.lit(int(t)).cast("bigint"))
+        return None
+
     def equals(self, t) -> Column:
         if isinstance(t, float) and math.isnan(t):
             return no()
         if isinstance(t, NUMBERS):
-            return F.coalesce((self.is_number() | self.is_bool()) & self._numeric(t, lambda a, b: a == b), no())
+            slow = (self.is_number() | self.is_bool()) & self._numeric(t, lambda a, b: a == b)
+            fast = self._small(t, lambda a, b: a == b)
+            return F.coalesce(slow if fast is None else F.when(self.kind == "BIGINT", fast).otherwise(slow), no())
         if isinstance(t, str):
             return F.coalesce(self.is_string() & (self._get("string") == t), no())
         if isinstance(t, (list, tuple, dict)):
@@ -186,7 +194,9 @@ class VariantField:
         else:
             fits, hit = no(), no()
         wrong = F.raise_error(F.concat(F.lit("cannot order "), self.kind, F.lit(f" and {type(t).__name__}"))).cast("boolean") if strict else no()
-        return F.coalesce(F.when(self.is_null(), no()).when(fits, hit).otherwise(wrong), no())
+        rest = F.when(self.is_null(), no()).when(fits, hit).otherwise(wrong)
+        fast = self._small(t, apply)
+        return F.coalesce(rest if fast is None else F.when(self.kind == "BIGINT", fast).otherwise(rest), no())
 
     def string(self) -> Column:
         return F.when(self.is_string(), self._get("string"))

@@ -103,12 +103,13 @@ class Query:
 
     def to_df(self) -> DataFrame:
         """The query's plan, open to any other DataFrame operation."""
+        return self._project(self._paged())
+
+    def _paged(self) -> DataFrame:
         out = self._ordered()
         if self._offset:
             out = out.offset(self._offset)
-        if self._limit is not None:
-            out = out.limit(self._limit)
-        return self._project(out)
+        return out if self._limit is None else out.limit(self._limit)
 
     def explain(self, mode: str = "formatted") -> None:
         self.to_df().explain(mode)
@@ -196,7 +197,7 @@ class DocumentQuery(Query):
 
     def typed(self, schema: str | T.StructType) -> DataFrame:
         """The matching documents with typed columns, for joins and aggregates."""
-        out = super()._ordered()
+        out = self._paged()
         kind = schema if isinstance(schema, str) else schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
         return out.select(F.from_json("_json", kind).alias("d"), "_id").select("d.*", F.col("_id").alias("id"))
 

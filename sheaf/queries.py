@@ -208,6 +208,11 @@ def _index(spark, d):
     return changelog.field_index(read(spark, d, "nation"), "n_regionkey", "n_nationkey")
 
 
+@_query("index_rows", "select cast(n_regionkey as varchar) as value, n_nationkey from nation")
+def _index_rows(spark, d):
+    return changelog.index_rows(read(spark, d, "nation"), "n_regionkey", "n_nationkey")
+
+
 @_query("unique_violations", "select p_name, count(*) as n from part group by 1 having count(*) > 1")
 def _unique(spark, d):
     return changelog.unique_violations(read(spark, d, "part"), "p_name")

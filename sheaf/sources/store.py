@@ -26,11 +26,11 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheaf.errors import DuplicateIndexError, EncryptionError, LockTimeoutError, RecordNotFoundError, SheafError, TransactionError
-from sheaf.functions.scalars import check_name, encode_line, now_ts, public_view
+from sheaf.errors import DuplicateIndexError, EncryptionError, LockTimeoutError, RecordNotFoundError, SchemaValidationError, SheafError, TransactionError
+from sheaf.functions.scalars import check_name, encode_line, is_valid_name, now_ts, public_view
 from sheaf.operators import changelog
 from sheaf.operators.schema import Schema
 from sheaf.plans.predicates import VariantField
@@ -43,6 +43,10 @@ from sheaf.sources.manifest import CommitLog, DataFile, Manifest, following, wri
 LOG_SCHEMA = "_id long, _seq long, _created long, _updated long, _deleted boolean, _first long, doc string"
 _ARROW = pa.schema([("_id", pa.int64()), ("_seq", pa.int64()), ("_created", pa.int64()), ("_updated", pa.int64()), ("_deleted", pa.bool_()), ("_first", pa.int64()), ("doc", pa.string())])
 CACHE_SIZE, LOCK_TIMEOUT = 1024, 10.0
+#: From so many ids on a batch fetches its records by one Spark job.
+MANY = 20
+#: Seconds for which files that no version has may belong to a writer that hasn't published yet.
+RETENTION = 24 * 3600.0
 
 
 def py_str_value(value) -> str:
@@ -156,11 +160,13 @@ class Collection:
         log = self.log(manifest)
         if ids is not None:
             log = log.where(F.col("_id").isin(list(ids)))  # before the aggregate, so it reaches the scan
-        first = F.min(F.coalesce("_first", "_seq"))
-        return (
-            log.groupBy("_id").agg(F.max_by(F.struct("_created", "_updated", "_deleted", "doc", "_seq"), "_seq").alias("r"), first.alias("_first"))
-            .select("_id", "r._created", "r._updated", "r._deleted", "_first", "r._seq", self._plain(F.col("r.doc")).alias("_json"))
-        )
+        return self._last_versions(log).select("_id", "_created", "_updated", "_deleted", "_first", "_seq", self._plain(F.col("doc")).alias("_json"))
+
+    @staticmethod
+    def _last_versions(log: DataFrame) -> DataFrame:
+        """Each record's last version as stored, with the place of its first; numbers alone are aggregated."""
+        ends = log.groupBy("_id").agg(F.max("_seq").alias("_last"), F.min(F.coalesce("_first", "_seq")).alias("_place"))
+        return log.join(ends, "_id").where(F.col("_seq") == F.col("_last")).select("_id", "_seq", "_created", "_updated", "_deleted", F.col("_place").alias("_first"), "doc")
 
     def live(self, manifest: Manifest | None = None, ids: list[int] | None = None) -> DataFrame:
         return self.latest(manifest, ids).where(~F.col("_deleted"))
@@ -216,6 +222,14 @@ class Collection:
                 self._cache.put(record_id, found)
             return found
 
+    def _many(self, manifest: Manifest, ids: set[int]) -> dict[int, dict | None]:
+        """Live records of ids, where there are enough to be worth one job; others are read one by one."""
+        if len(ids) < MANY:
+            return {}
+        meta = ("_id", "_created", "_updated", "_deleted", "_first")
+        rows = self.live(manifest, sorted(ids)).collect()
+        return dict.fromkeys(ids) | {r["_id"]: {k: r[k] for k in meta} | json.loads(r["_json"]) for r in rows}
+
     def get(self, record_id: int | None = None, **field) -> dict:
         """The record of an id, or the first one (by its last write) with ``field=value``, compared as strings."""
         if record_id is not None and field:
@@ -252,13 +266,12 @@ class Collection:
         return list(dict.fromkeys(r["_id"] for r in sorted(rows, key=lambda r: (place[r["_key"]], r["_seq"]))))
 
     def index_df(self) -> DataFrame:
-        """(field, value, ids) of all fields of all live records."""
+        """(field, value, _id, _seq): a row for each field of each live record."""
         docs = self._documents()
         docs.createOrReplaceTempView(view := f"_sheaf_{uuid.uuid4().hex}")
         cells = self.spark.sql(f"select _id, _seq, e.key as field, e.value as v from {view}, lateral variant_explode(doc) e")
         value = VariantField(F.col("v"), None).pystr()
-        rows = cells.where(~F.col("field").startswith("_")).select("field", value.alias("value"), F.struct("_seq", "_id").alias("k"))
-        return rows.groupBy("field", "value").agg(F.transform(F.sort_array(F.collect_list("k")), lambda k: k["_id"]).alias("ids"))
+        return cells.where(~F.col("field").startswith("_")).select("field", value.alias("value"), "_id", "_seq")
 
     def check_unique(self, field: str, value, exclude_id: int | None = None) -> None:
         """DuplicateIndexError if another live record has this value."""
@@ -266,7 +279,11 @@ class Collection:
             raise DuplicateIndexError(field, value)
 
     def all_values(self, field: str) -> dict[str, list[int]]:
-        return {r["value"]: r["ids"] for r in self.index_df().where(F.col("field") == field).collect()}
+        """All values of one field with their ids, in order of last writes, on the driver."""
+        out: dict[str, list[int]] = {}
+        for r in self.index_df().where(F.col("field") == field).orderBy("_seq").select("value", "_id").toLocalIterator():
+            out.setdefault(r["value"], []).append(r["_id"])
+        return out
 
     def indexed_fields(self) -> list[str]:
         docs = self._documents()
@@ -351,7 +368,8 @@ class Collection:
             return []
 
         def attempt(now: Manifest):
-            state: dict[int, dict | None] = {}
+            nonlocal version
+            state: dict[int, dict | None] = self._many(now, {rid for kind, rid, _ in ops if kind != "create"})
             made: dict[int, dict] = {}
             rows, out, log = [], [], []
             seq, ts = now.next_seq, now_ts()
@@ -381,10 +399,15 @@ class Collection:
                 return None
             self._check_unique(now, {k: r for k, r in made.items() if not r["_deleted"]}, state)
             file = self._write_rows(rows)
+            version = now.version + 1
             return following(now, next_id=top, next_seq=seq, ts=ts, files=(*now.files, file), ops=tuple(log)), out
 
+        version = 0
         with self._lock:
             out = self._race(attempt) or []
+            if version and self._cached_at == version - 1:  # what else is cached is as it was
+                self._cache.invalidate_many([r["_id"] for r in out])
+                self._cached_at = version
         for r in out:
             r.pop("_first", None)
         return out
@@ -419,6 +442,69 @@ class Collection:
     def delete_many(self, ids: list[int]) -> int:
         return len(self._commit([("delete", i, None) for i in ids], skip_missing=True))
 
+    def update_df(self, ids: DataFrame, **fields) -> int:
+        """Replace the given fields of all live records whose id is in the first column of ``ids``; one commit, by the executors.
+
+        Ids may repeat or have no record. Returns how many records changed.
+        """
+        patch = self._patch(fields)
+        if not patch:
+            return 0
+        text = F.lit(encode_line(patch))
+        old = F.map_filter(F.parse_json("_json").cast("map<string,variant>"), lambda k, _: ~k.isin(list(patch)))
+        return self._rewrite(ids, F.to_json(F.map_concat(old, F.parse_json(text).cast("map<string,variant>"))), False, set(patch) & self._unique)
+
+    def delete_df(self, ids: DataFrame) -> int:
+        """Delete all live records whose id is in the first column of ``ids``; one commit, by the executors."""
+        return self._rewrite(ids, F.col("_json"), True, set())
+
+    def _rewrite(self, ids: DataFrame, doc: Column, deleted: bool, unique: set[str]) -> int:
+        wanted = ids.select(F.col(f"`{ids.columns[0]}`").cast("long").alias("_id")).distinct()
+
+        def attempt(now: Manifest):
+            staged = self._folder / "data" / f"{uuid.uuid4().hex}.staged"
+            try:
+                old = self.live(now).join(wanted, "_id", "left_semi").select("_id", "_created", "_first", doc.alias("doc"))
+                self._stage(old, staged)
+                rows = self.spark.read.schema("part int, row long, _id long, _created long, _first long, doc string").parquet(str(staged))
+                total, low, high = rows.agg(F.count(F.lit(1)), F.min("_id"), F.max("_id")).first()
+                if not total:
+                    return None
+                for field in sorted(unique):  # all of them would hold one value
+                    value = json.loads(rows.select("doc").first()["doc"])[field]
+                    taken = self._holders(now, field, [value]).join(rows.select("_id"), "_id", "left_anti").limit(1).count()
+                    if total > 1 or taken:
+                        raise DuplicateIndexError(field, value)
+                place, ts = F.lit(now.next_seq) + F.col("place"), now_ts()
+                text = self._store.cipher.encrypt_column(F.col("doc")) if self._store.cipher else F.col("doc")
+                new = self._numbered(rows).select("_id", place.alias("_seq"), "_created", F.lit(ts).alias("_updated"), F.lit(deleted).alias("_deleted"), "_first", text.alias("doc"))
+                file = self._write_frame(new, total, low, high)
+            finally:
+                shutil.rmtree(staged, ignore_errors=True)
+            log = ({"op": "delete" if deleted else "update", "rows": total},)
+            return following(now, next_seq=now.next_seq + total, ts=ts, files=(*now.files, file), ops=log), total
+
+        with self._lock:
+            return self._race(attempt) or 0
+
+    @staticmethod
+    def _stage(rows: DataFrame, path: Path) -> None:
+        """Write rows with their partition and place in it, so that numbers can be given without a global sort."""
+        rows.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "*").write.parquet(str(path))
+
+    @staticmethod
+    def _numbered(rows: DataFrame) -> DataFrame:
+        """Staged rows with ``place``, counted from 0 through the partitions."""
+        parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("start"))
+        ahead = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return rows.join(F.broadcast(parts.select("part", "start", ahead.alias("ahead"))), "part").withColumn("place", F.col("ahead") + F.col("row") - F.col("start"))
+
+    def _write_frame(self, rows: DataFrame, total: int, low: int, high: int) -> DataFile:
+        name = f"{uuid.uuid4().hex}.parquet"
+        out = self._folder / "data" / name
+        rows.select(*_ARROW.names).write.parquet(str(out))
+        return DataFile(name, total, sum(p.stat().st_size for p in out.glob("*.parquet")), low, high)
+
     def transaction(self) -> Transaction:
         return Transaction(self)
 
@@ -438,29 +524,23 @@ class Collection:
         doc = F.to_json(F.struct(*[F.col(f"`{c}`") for c in frame.columns]), {"ignoreNullFields": "false"})
         body = frame if not self._schema else self._schema.with_errors(frame, "_errors")
         errors = F.col("_errors") if self._schema else F.array().cast("array<string>")
-        body.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), doc.alias("doc"), errors.alias("errors")).write.parquet(str(staged))
         try:
+            self._stage(body.select(doc.alias("doc"), errors.alias("errors")), staged)
             return self._insert_staged(staged)
         finally:
             shutil.rmtree(staged, ignore_errors=True)
 
     def _insert_staged(self, staged: Path) -> int:
-        from pyspark.sql import Window
-
-        from sheaf.errors import SchemaValidationError
-
         rows = self.spark.read.schema("part int, row long, doc string, errors array<string>").parquet(str(staged))
         if found := rows.where(F.size("errors") > 0).select(F.explode("errors")).distinct().limit(20).collect():
             raise SchemaValidationError(sorted(r[0] for r in found))
-        parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("start"))
         total = rows.count()
         if not total:
             return 0
-        ahead = parts.select("part", "start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-        place = F.col("ahead") + F.col("row") - F.col("start")
 
         def attempt(now: Manifest):
-            new = rows.join(F.broadcast(ahead), "part").select((F.lit(now.next_id) + place).alias("_id"), (F.lit(now.next_seq) + place).alias("_seq"), "doc")
+            place = F.col("place")
+            new = self._numbered(rows).select((F.lit(now.next_id) + place).alias("_id"), (F.lit(now.next_seq) + place).alias("_seq"), "doc")
             for field in sorted(self._unique):
                 key = VariantField(F.parse_json("doc"), field).pystr()
                 keys = new.select(key.alias("k")).where(F.col("k").isNotNull())
@@ -470,11 +550,8 @@ class Collection:
                     raise DuplicateIndexError(field, (twice or taken)[0]["k"])
             text = self._store.cipher.encrypt_column(F.col("doc")) if self._store.cipher else F.col("doc")
             ts = now_ts()
-            name = f"{uuid.uuid4().hex}.parquet"
-            out = self._folder / "data" / name
-            new.select("_id", "_seq", F.lit(ts).alias("_created"), F.lit(ts).alias("_updated"), F.lit(False).alias("_deleted"), F.lit(None).cast("long").alias("_first"), text.alias("doc")).write.parquet(str(out))
-            size = sum(p.stat().st_size for p in out.glob("*.parquet"))
-            file = DataFile(name, total, size, now.next_id, now.next_id + total - 1)
+            new = new.select("_id", "_seq", F.lit(ts).alias("_created"), F.lit(ts).alias("_updated"), F.lit(False).alias("_deleted"), F.lit(None).cast("long").alias("_first"), text.alias("doc"))
+            file = self._write_frame(new, total, now.next_id, now.next_id + total - 1)
             return following(now, next_id=now.next_id + total, next_seq=now.next_seq + total, ts=ts, files=(*now.files, file), ops=({"op": "insert", "rows": total},)), total
 
         with self._lock:
@@ -486,11 +563,11 @@ class Collection:
         """Rewrite the live records as the only version; returns records_remaining and bytes_saved."""
 
         def attempt(now: Manifest):
-            live = self.log(now).groupBy("_id").agg(F.max_by(F.struct("_created", "_updated", "_deleted", "doc", "_seq"), "_seq").alias("r"), F.min(F.coalesce("_first", "_seq")).alias("_first")).where(~F.col("r._deleted"))
+            live = self._last_versions(self.log(now)).where(~F.col("_deleted"))
             name = f"{uuid.uuid4().hex}.parquet"
             out = self._folder / "data" / name
             # by id, so that a point read meets few row groups
-            live.select("_id", "r._seq", "r._created", "r._updated", "r._deleted", "_first", "r.doc").sortWithinPartitions("_id").write.parquet(str(out))
+            live.sortWithinPartitions("_id").write.parquet(str(out))
             kept = self.spark.read.schema(LOG_SCHEMA).parquet(str(out)).agg(F.count(F.lit(1)), F.min("_id"), F.max("_id")).first()
             size = sum(p.stat().st_size for p in out.glob("*.parquet"))
             files = (DataFile(name, kept[0], size, kept[1], kept[2]),) if kept[0] else ()
@@ -503,11 +580,17 @@ class Collection:
             self._cache.clear()
             return self._race(attempt)
 
-    def vacuum(self) -> int:
-        """Delete data files that the current version doesn't have, and older manifests; queries begun earlier may then fail."""
+    def vacuum(self, retention: float = RETENTION) -> int:
+        """Delete data files that older versions had and the current one hasn't, and older manifests; queries begun earlier may then fail.
+
+        Files that no version ever had may be those of a writer that is about
+        to publish: they go when they are older than ``retention`` seconds.
+        """
         now = self._log.latest()
         used = {f.path for f in now.files}
-        old = [p for p in (self._folder / "data").iterdir() if p.name not in used and not p.name.endswith(".staged")]
+        known = {f.path for v in self._log.versions() for f in self._log.read(v).files}
+        begun = time.time() - retention
+        old = [p for p in (self._folder / "data").iterdir() if p.name not in used and (p.name in known or p.stat().st_mtime < begun)]
         for p in old:
             shutil.rmtree(p, ignore_errors=True) if p.is_dir() else p.unlink(missing_ok=True)
         self._log.forget(now.version)
@@ -531,8 +614,10 @@ class Collection:
         return [{"version": m.version, "ts": m.ts, "ops": list(m.ops)} for m in map(self._log.read, self._log.versions())]
 
     def pending_entries(self) -> list[dict]:
-        """Entries that were logged but not applied: there are none, as commits are atomic."""
-        return []
+        """What was written but isn't published: files of running writers, or of writers that broke off. None of it shows in reads."""
+        known = {f.path for v in self._log.versions() for f in self._log.read(v).files}
+        files = [p for p in (self._folder / "data").iterdir() if p.name not in known]
+        return [{"file": p.name, "modified": int(p.stat().st_mtime)} for p in sorted(files)]
 
     def drop(self) -> None:
         self._store._forget(self._name)
@@ -586,7 +671,7 @@ class Store:
         meta = self._meta()
         if meta is None:
             self.path.mkdir(parents=True, exist_ok=True)
-            meta = {"version": self.VERSION, "encrypted": password is not None, "collections": []}
+            meta = {"version": self.VERSION, "encrypted": password is not None}
             if password is not None:
                 self.cipher = Cipher(self.spark, password)
                 meta |= {"salt": self.cipher.salt.hex(), "key_check": self.cipher.key_check()}
@@ -621,19 +706,15 @@ class Store:
                 if unique_fields is not None:
                     known._unique = frozenset(unique_fields)
                 return known
-            meta = self._meta()
-            if name not in meta["collections"]:
-                self._save(meta | {"collections": sorted({*meta["collections"], name})})
             self._open[name] = Collection(self, name, schema, unique_fields or (), cache_size or self._cache_size)
             return self._open[name]
 
     def list_collections(self) -> list[str]:
-        return sorted(self._meta()["collections"])
+        """A collection is registered by the folder of its log, so processes that create different ones don't meet in a file."""
+        return sorted(p.name for p in self.path.iterdir() if is_valid_name(p.name) and (p / "log").is_dir())
 
     def _forget(self, name: str) -> None:
         with self._lock:
-            meta = self._meta()
-            self._save(meta | {"collections": [c for c in meta["collections"] if c != name]})
             self._open.pop(name, None)
 
     def drop_collection(self, name: str) -> None:
@@ -642,7 +723,17 @@ class Store:
             self.collection(name).drop()
 
     def compact_all(self) -> dict[str, dict]:
-        return {n: self.collection(n).compact() for n in self.list_collections()}
+        """Compact every collection, and delete what that left behind."""
+        done = {}
+        for n in self.list_collections():
+            done[n] = self.collection(n).compact()
+            done[n]["files_removed"] = self.collection(n).vacuum()
+        return done
+
+    def all_pending(self) -> dict[str, list[dict]]:
+        """``pending_entries`` of every collection that has any."""
+        found = {n: self.collection(n).pending_entries() for n in self.list_collections()}
+        return {n: entries for n, entries in found.items() if entries}
 
     def stats(self) -> dict:
         each = [self.collection(n) for n in self.list_collections()]

@@ -9,7 +9,10 @@ import pytest
 
 import __spark_entry__ as entry
 from sheaf import queries as catalogue
+from sheaf import store_queries
 
+ALL = catalogue.QUERIES | store_queries.QUERIES
+SQL = catalogue.ORACLE_SQL | store_queries.ORACLE_SQL
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables aren't here")
@@ -31,10 +34,10 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_query(spark, duck, name):
-    frame = catalogue.QUERIES[name](spark, str(DATA))
-    found = duck.execute(catalogue.ORACLE_SQL[name])
+    frame = ALL[name](spark, str(DATA))
+    found = duck.execute(SQL[name])
     columns = [d[0] for d in found.description]
     assert sorted(columns) == sorted(frame.columns)
     want = sorted((repr(tuple(plain(r[columns.index(c)]) for c in sorted(columns))) for r in found.fetchall()))
