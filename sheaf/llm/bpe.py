@@ -1,18 +1,20 @@
 """Byte-level BPE by DuckDB recursive queries, inside each Spark partition.
 
 A vocabulary of ranked byte strings gives a merge table: (left, right) to
-merged for every token that splits into two others. Each distinct word (match
-of the split pattern) of a batch becomes token-position rows, at first one per
-byte. The recursive query joins neighbouring rows to the merge table, picks
-each word's leftmost pair of least rank, contracts it, and goes on with the
-words that still had a pair, until none has. Decoding is an ordered
-aggregation of the ids' byte strings.
-
-Encoding a text is the concatenation of its words' encodings, and decoding is
-a homomorphism too, so the queries run once per distinct word and worker; a
-bounded cache keeps words between batches. A word of over ``LONG_WORD`` bytes
-would need that many rounds of that many rows; such a word is contracted by a
-heap instead, with the same rule and result.
+merged for every token that splits into two others; it is built once, on the
+driver, and shipped. Each distinct word (match of the split pattern) of a
+slice of texts becomes token-position rows, at first one per byte. The
+recursive query joins neighbouring rows to the merge table, picks each word's
+leftmost pair of least rank, contracts it, and goes on with the words that
+still had a pair, until none has. A text's ids are those of its words in
+order; they are decoded by an ordered aggregation of the ids' byte strings,
+text by text.
+
+Encoding a text is the concatenation of its words' encodings, so the recursive
+query meets a word once; a cache of bounded bytes keeps words between slices
+of a task, and everything goes when the task ends. A word of over
+``LONG_WORD`` bytes would need that many rounds of that many rows; such a word
+is contracted by a heap instead, with the same rule and result.
 """
 
 from __future__ import annotations
@@ -22,25 +24,29 @@ import hashlib
 import heapq
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm._shared import ship, table, text_or_empty
+from sheaf.llm._shared import ship, table, text_or_empty, tidy
 
 LONG_WORD = 200
-#: Token-position rows that one recursive query makes at most, all rounds together; words and sequences
-#: that go to a query at once; words that a worker remembers.
-CHUNK_ROWS = 3_000_000
+#: Token-position rows that one recursive query makes at most, all rounds together; words that go to a query
+#: at once; ids that are decoded at once; bytes of words and ids that a task remembers.
+CHUNK_ROWS = 2_000_000
 CHUNK_WORDS = 20_000
-CACHE_WORDS = 400_000
+CHUNK_IDS = 250_000
+CACHE_BYTES = 48 << 20
+#: What a cached word takes beside its characters and digits.
+WORD_BYTES = 200
 
 #: Code points with the Unicode property White_Space. Fixed values.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -90,25 +96,42 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return split
 
 
+def _ranks(blob: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines())}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return _ranks(f.read())
+
+
+def merge_table(ranks: dict[bytes, int]) -> np.ndarray:
+    """Rows (left, right, merged) of all tokens that split into two others."""
+    pairs = [(ranks[t[:i]], ranks[t[i:]], m) for t, m in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    return np.array(pairs, np.int32).reshape(-1, 3)
 
 
 class Merger:
     """Vocabulary, merge table and the two queries, in one DuckDB connection."""
 
-    def __init__(self, ranks: dict[bytes, int], memory: str = "300MB"):
+    def __init__(self, ranks: dict[bytes, int], merges: np.ndarray | None = None, memory: str = "150MB"):
         self.ranks = ranks
-        self.text = {i: t for t, i in ranks.items()}
-        pairs = [(ranks[t[:i]], ranks[t[i:]], m) for t, m in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.by_pair = {(a, b): m for a, b, m in pairs}
+        self.merges = merge_table(ranks) if merges is None else merges
+        self._by_pair: dict[tuple[int, int], int] | None = None
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})  # chunks are bounded: nothing spills
-        left, right, merged = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True)) if pairs else (pa.array([], pa.int32()),) * 3
-        self._load("merges", pa.table({"l": left, "r": right, "m": merged}))
-        ids = sorted(self.text)
-        self._load("vocab", pa.table({"id": pa.array(ids, pa.int32()), "hex": [self.text[i].hex() for i in ids]}))
+        self._load("merges", pa.table({k: np.ascontiguousarray(self.merges[:, i]) for i, k in enumerate("lrm")}))
+        self._load("vocab", pa.table({"id": np.fromiter(ranks.values(), np.int32, len(ranks)), "hex": [t.hex() for t in ranks]}))
+
+    def close(self) -> None:
+        self.con.close()
+
+    @property
+    def by_pair(self) -> dict[tuple[int, int], int]:
+        """The merge table as a dictionary, made when the first long word comes."""
+        if self._by_pair is None:
+            self._by_pair = {(a, b): m for a, b, m in self.merges.tolist()}
+        return self._by_pair
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.con.register("_new", rows)
@@ -190,21 +213,34 @@ class Merger:
                     heapq.heappush(heap, (m, k))
         return [toks[i] for i in range(n) if live[i]]
 
-    def decode(self, seqs: list[list[int]]) -> list[bytes]:
-        """Bytes of each sequence of ids; an id without an entry is an error."""
-        out: list[bytes] = []
-        part: list[list[int]] = []
+    def decode(self, seqs: list[np.ndarray]) -> list[bytes]:
+        """Bytes of each sequence of ids; an id without an entry is an error.
+
+        At most ``CHUNK_IDS`` ids go to a query: many short sequences, or a part of a long one.
+        """
+        out: list[list[bytes]] = [[] for _ in seqs]
+        part: list[np.ndarray] = []
+        owner: list[int] = []
         size = 0
         for k, ids in enumerate(seqs):
-            part.append(ids)
-            size += len(ids)
-            if size >= CHUNK_ROWS or len(part) == CHUNK_WORDS or k == len(seqs) - 1:
-                out += self._decode_rows(part)
-                part, size = [], 0
-        return out
-
-    def _decode_rows(self, seqs: list[list[int]]) -> list[bytes]:
-        flat = np.fromiter((i for s in seqs for i in s), np.int32)
+            for at in range(0, len(ids), CHUNK_IDS):
+                piece = ids[at : at + CHUNK_IDS]
+                if size + len(piece) > CHUNK_IDS:
+                    self._decode_into(out, owner, part)
+                    part, owner, size = [], [], 0
+                part.append(piece)
+                owner.append(k)
+                size += len(piece)
+        if part:
+            self._decode_into(out, owner, part)
+        return [b"".join(x) for x in out]
+
+    def _decode_into(self, out: list[list[bytes]], owner: list[int], part: list[np.ndarray]) -> None:
+        for k, made in zip(owner, self._decode_rows(part), strict=True):
+            out[k].append(made)
+
+    def _decode_rows(self, seqs: list[np.ndarray]) -> list[bytes]:
+        flat = np.concatenate(seqs)
         lengths = np.fromiter(map(len, seqs), np.int64, len(seqs))
         self.con.register("ids", pa.table({"w": np.repeat(np.arange(len(seqs), dtype=np.int32), lengths), "pos": np.arange(len(flat), dtype=np.int64), "id": flat}))
         got = self.con.execute("select w, count(hex) as n, string_agg(hex, '' order by pos) as hex from ids left join vocab using (id) group by w").fetchall()
@@ -218,86 +254,85 @@ class Merger:
 
 
 class Codec:
-    """Texts to ids and back, with the words met before kept in a bounded cache."""
+    """Texts to ids and back, with the words met before kept in a cache of bounded size."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, cache_words: int = CACHE_WORDS):
-        self.merger, self.split, self.cache_words = Merger(ranks), splitter(pattern), cache_words
+    def __init__(self, merger: Merger, pattern: str = public_tokenizers.PATTERN, cache_bytes: int = CACHE_BYTES):
+        self.merger, self.split, self.cache_bytes = merger, splitter(pattern), cache_bytes
         self.known: dict[str, str] = {}  # ids of a word, decimal, a space before each
-        self.odd: dict[str, bytes] = {}  # words that didn't decode to themselves
+        self.held = 0
 
     def learn(self, pieces: list[list[str]]) -> None:
-        """Encode the words that aren't known, and decode what came out."""
+        """Encode the words that aren't known."""
         met = set()
         for p in pieces:
             met.update(p)
         new = [w for w in met if w not in self.known]
-        if len(self.known) + len(new) > self.cache_words:
+        if self.held > self.cache_bytes:
             self.known = {w: self.known[w] for w in met if w in self.known}
+            self.held = sum(len(w) + len(i) + WORD_BYTES for w, i in self.known.items())
         for at in range(0, len(new), CHUNK_WORDS):
             part = new[at : at + CHUNK_WORDS]
-            raw = [w.encode("utf-8", "surrogatepass") for w in part]
-            ids = self.merger.encode(raw)
-            for w, b, i, back in zip(part, raw, ids, self.merger.decode(ids), strict=True):
+            for w, i in zip(part, self.merger.encode([w.encode("utf-8", "surrogatepass") for w in part]), strict=True):
                 self.known[w] = "".join(f" {x}" for x in i)
-                if back != b:
-                    self.odd[w] = back
+                self.held += len(w) + len(self.known[w]) + WORD_BYTES
 
     def ids(self, pieces: list[str]) -> str:
         """Decimal ids joined by one space."""
         return "".join(map(self.known.__getitem__, pieces))[1:]
 
-    def decoded(self, pieces: list[str]) -> bytes:
-        if self.odd and not self.odd.keys().isdisjoint(pieces):
-            return b"".join(self.odd.get(p, p.encode("utf-8", "surrogatepass")) for p in pieces)
-        return "".join(pieces).encode("utf-8", "surrogatepass")
+    def encoded(self, texts: list[str]) -> list[str]:
+        """``ids`` of each text."""
+        pieces = [self.split(t) for t in texts]
+        self.learn(pieces)
+        return [self.ids(p) for p in pieces]
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+def numbers(ids: str) -> np.ndarray:
+    return np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32)
 
 
-def _codec(file: str, pattern: str) -> Codec:
-    """One codec per worker and vocabulary."""
-    if (file, pattern) not in _CODECS:
-        _CODECS.clear()
-        _CODECS[file, pattern] = Codec(load_ranks(SparkFiles.get(file)), pattern)
-    return _CODECS[file, pattern]
+def _ship(spark: SparkSession, vocabulary: str | None) -> tuple[str, str]:
+    """Send the vocabulary file and its merge table (a few MB each) to the executors; their names there."""
+    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        blob = f.read()
+    return ship(spark, blob, "bpe"), ship(spark, merge_table(_ranks(blob)).tobytes(), "merges")
 
 
-def _ship(spark: SparkSession, vocabulary: str | None) -> str:
-    """Send the vocabulary file (a few MB) to the executors; its name there."""
-    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        return ship(spark, f.read(), "bpe")
+def _codec(files: tuple[str, str], pattern: str) -> Codec:
+    merges = np.fromfile(SparkFiles.get(files[1]), np.int32).reshape(-1, 3)
+    return Codec(Merger(load_ranks(SparkFiles.get(files[0])), merges), pattern)
 
 
 #: Characters of text that one call of the codec takes at most, beyond a single long text.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > BATCH_CHARS:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    yield start, len(texts)
+def _slices(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in lists of bounded size."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = done = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, done + BATCH_CHARS, "right")))
+        yield texts.slice(start, stop - start).to_pylist()
+        start, done = stop, ends[stop - 1]
 
 
 def _mapped(docs: DataFrame, vocabulary: str | None, pattern: str, id_col: str, text_col: str, schema: str, row: Callable) -> DataFrame:
-    name = _ship(docs.sparkSession, vocabulary)
+    files = _ship(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name, pattern)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            if not texts:
-                continue
-            for a, b in _slices(texts):
-                pieces = [codec.split(t) for t in texts[a:b]]
-                codec.learn(pieces)
-                yield row(batch.column(0).slice(a, b - a), pieces, codec)
+        codec = _codec(files, pattern)
+        try:
+            for batch in batches:
+                at = 0
+                for texts in _slices(batch.column(1)):
+                    yield row(batch.column(0).slice(at, len(texts)), codec.encoded(texts), codec.merger)
+                    at += len(texts)
+        finally:
+            codec.merger.close()
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {schema}")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t")).mapInArrow(tidy(run), f"doc_id {kind}, {schema}")
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,67 +342,58 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public
     other columns aren't read; an empty table gives no rows.
     """
 
-    def row(keys, pieces, codec):
-        ids = [np.array(codec.ids(p).split(), np.int32) for p in pieces]
-        return pa.record_batch([keys, pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+    def row(keys, coded, merger):
+        return pa.record_batch([keys, pa.array([numbers(i) for i in coded], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return _mapped(docs, vocabulary, pattern, id_col, text_col, "ids array<int>", row)
 
 
 def decode(coded: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, decoded binary) of arrays of ids, by ordered aggregation; null ids decode to nothing."""
-    name = _ship(coded.sparkSession, vocabulary)
+    """(doc_id, decoded binary) of arrays of ids, by ordered aggregation.
+
+    A null array, and a null within one, decodes to nothing; an id that isn't
+    in the vocabulary is an error.
+    """
+    files = _ship(coded.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name, public_tokenizers.PATTERN)
-        for batch in batches:
-            seqs = [s or [] for s in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(codec.merger.decode(seqs), pa.binary())], ["doc_id", "decoded"])
+        codec = _codec(files, public_tokenizers.PATTERN)
+        try:
+            for batch in batches:
+                seqs = [np.array([i for i in s or () if i is not None], np.int32) for s in batch.column(1).to_pylist()]
+                yield pa.record_batch([batch.column(0), pa.array(codec.merger.decode(seqs), pa.binary())], ["doc_id", "decoded"])
+        finally:
+            codec.merger.close()
 
     kind = coded.schema[id_col].dataType.simpleString()
-    return coded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kind}, decoded binary")
+    return coded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(tidy(run), f"doc_id {kind}, decoded binary")
+
+
+def _both_ways(keys: pa.Array, coded: list[str], merger: Merger, with_ids: bool) -> pa.RecordBatch:
+    seqs = [numbers(i) for i in coded]
+    columns = {
+        "doc_id": keys,
+        "n_tokens": pa.array([len(s) for s in seqs], pa.int64()),
+        "token_ids": pa.array(seqs, pa.list_(pa.int32())) if with_ids else None,
+        "ids_sha256": pa.array([hashlib.sha256(i.encode()).hexdigest() for i in coded], pa.string()),
+        "decoded_sha256": pa.array([hashlib.sha256(b).hexdigest() for b in merger.decode(seqs)], pa.string()),
+    }
+    return pa.record_batch({k: v for k, v in columns.items() if v is not None})
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): both ways in one pass.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the text's ids, and the digest of what those ids decode to.
 
     Null and empty texts have no tokens and the digests of empty strings.
     """
-
-    def row(keys, pieces, codec):
-        ids = [codec.ids(p) for p in pieces]
-        return pa.record_batch(
-            [
-                keys,
-                pa.array([i.count(" ") + 1 if i else 0 for i in ids], pa.int64()),
-                pa.array([hashlib.sha256(i.encode()).hexdigest() for i in ids]),
-                pa.array([hashlib.sha256(codec.decoded(p)).hexdigest() for p in pieces]),
-            ],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
-
-    return _mapped(docs, vocabulary, pattern, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    return _mapped(docs, vocabulary, pattern, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", partial(_both_ways, with_ids=False))
 
 
 def encode_and_check(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, token_ids array<int>, ids_sha256, decoded_sha256), as ``encode`` and ``round_trip`` give them."""
-
-    def row(keys, pieces, codec):
-        ids = [codec.ids(p) for p in pieces]
-        return pa.record_batch(
-            [
-                keys,
-                pa.array([i.count(" ") + 1 if i else 0 for i in ids], pa.int64()),
-                pa.array([np.array(i.split(), np.int32) for i in ids], pa.list_(pa.int32())),
-                pa.array([hashlib.sha256(i.encode()).hexdigest() for i in ids]),
-                pa.array([hashlib.sha256(codec.decoded(p)).hexdigest() for p in pieces]),
-            ],
-            ["doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"],
-        )
-
-    return _mapped(docs, vocabulary, pattern, id_col, text_col, "n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string", row)
+    return _mapped(docs, vocabulary, pattern, id_col, text_col, "n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string", partial(_both_ways, with_ids=True))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of ``documents`` encoded by the 50k ranks and decoded again."""
+    """Every whole text of ``documents`` encoded by the 50k ranks, and its ids decoded again."""
     return round_trip(table(spark, sf_dir, "documents"))
