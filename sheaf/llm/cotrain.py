@@ -1,14 +1,14 @@
 """Quality scores by co-training a text view and a metadata view.
 
-The text view sees what a text is made of: word shapes (letters as ``a``,
-digits as ``9``, marks as they are) and short words. The metadata view sees a
-page from outside: language, source, and binned sizes (characters, lines,
-length of lines, share of marks, repetition of lines). Each view has a logistic
-classifier in numpy. In every round each view labels the rows of an unlabelled
-pool that it is most sure of, in the proportion of the classes, and hands them
-to the other view's training set. At last both views are calibrated on labelled
-rows they weren't trained on, and a logistic combination of the two calibrated
-log odds scores all documents.
+The text view sees what a text is made of: all its words and its shapes
+(letters as ``a``, digits as ``9``, marks as they are). The metadata view sees
+what the page's record says and nothing of the text: language, source and
+stated size, alone and in pairs. Each view has a logistic classifier in numpy.
+In every round each view labels the rows of an unlabelled pool that it is most
+sure of, in the proportion of the classes, and hands them to the other view's
+training set. At last both views are calibrated on labelled rows they weren't
+trained on, and a logistic combination of the two calibrated log odds scores
+all documents.
 
 Fitting reads at most ``max_labelled`` labelled and ``max_pool`` other
 documents, chosen by a hash of the id; scoring reads every whole text.
@@ -28,11 +28,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm._shared import held_out, table, text_or_empty
+from sheaf.llm._shared import held_out, table, text_or_empty, tidy
 
-LETTERS, DIGITS, SHORT = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(?<!\w)[^\W\d_]{1,4}(?!\w)")
-WIDTH = 1 << 13
+LETTERS, DIGITS, WORD = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"\w+")
+#: Slots that the names of features hash to.
+WIDTH = 1 << 15
 FOLDS = 3
+ROWS_AT_ONCE = 1000
 
 
 def _slot(name: str) -> int:
@@ -46,28 +48,21 @@ def _unit(values: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_view(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse unit vector of a text's shapes and short words."""
+    """Sparse unit vector of a text's shapes and words."""
     shapes = Counter(DIGITS.sub("9", LETTERS.sub("a", text)).split())
     n = max(1, sum(shapes.values()))
     out: dict[int, float] = Counter()
     for s, c in shapes.items():
-        out[_slot("s" + s[:12])] += math.sqrt(c / n)
-    short = Counter(SHORT.findall(text.lower()))
-    for w, c in short.items():
+        out[_slot("s" + s)] += math.sqrt(c / n)
+    for w, c in Counter(WORD.findall(text.lower())).items():
         out[_slot("w" + w)] += 0.5 * math.sqrt(c / n)
     return _unit(out)
 
 
-def metadata_view(text: str, lang: str | None, source: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse unit vector of a page's metadata and outer form."""
-    lines = text.split("\n")
-    n = max(1, len(text))
-    marks = n - sum(map(len, LETTERS.findall(text))) - text.count(" ") - len(lines) + 1
-    names = [
-        f"lang={lang}", f"source={source}", f"chars={int(2 * math.log2(n))}", f"lines={int(2 * math.log2(len(lines)))}",
-        f"line={int(2 * math.log2(n / len(lines) + 1))}", f"marks={min(20, int(40 * marks / n))}",
-        f"repeat={int(10 * (1 - len(set(lines)) / len(lines)))}", f"spaces={min(20, int(50 * text.count(' ') / n))}",
-    ]
+def metadata_view(lang: str | None, source: str | None, size: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse unit vector of a page's record; a null is a value of its own."""
+    step = None if size is None or size != size else int(2 * math.log2(max(size, 0) + 1))
+    names = [f"lang={lang}", f"source={source}", f"size={step}", f"lang={lang}&source={source}", f"lang={lang}&size={step}", f"source={source}&size={step}"]
     return _unit(dict.fromkeys(map(_slot, names), 1.0))
 
 
@@ -111,8 +106,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def cotrain(views: tuple[Rows, Rows], y: np.ndarray, rounds: int, share: float) -> list[np.ndarray]:
-    """Weights of both views; ``y`` is 1, 0 or -1 for the unlabelled pool."""
+def cotrain(views: tuple[Rows, Rows], y: np.ndarray, rounds: int, share: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Weights of both views, and the labels each was trained on at last; ``y`` is 1, 0 or -1 for the unlabelled pool."""
     known = [y.copy(), y.copy()]
     rate = float((y == 1).sum() / max(1, (y >= 0).sum()))
     batch = max(2, int(share * (y == -1).sum()))
@@ -130,7 +125,7 @@ def cotrain(views: tuple[Rows, Rows], y: np.ndarray, rounds: int, share: float)
             known[pupil][high[odds[high] > 1]] = 1
         # pseudo-labels weigh half of true ones
         weights = [v.fit(np.maximum(k, 0), np.where(y >= 0, 1.0, np.where(k >= 0, 0.5, 0.0))) for v, k in zip(views, known, strict=True)]
-    return weights
+    return weights, known
 
 
 @dataclass
@@ -138,27 +133,30 @@ class QualityModel:
     weights: list[np.ndarray]
     mix: np.ndarray
 
-    def score_rows(self, texts, langs, sources) -> np.ndarray:
-        views = Rows([text_view(t) for t in texts]), Rows([metadata_view(*x) for x in zip(texts, langs, sources, strict=True)])
+    def score_rows(self, texts, langs, sources, sizes) -> np.ndarray:
+        views = Rows([text_view(t) for t in texts]), Rows([metadata_view(*x) for x in zip(langs, sources, sizes, strict=True)])
         x = np.column_stack([np.clip(v.odds(w), -20, 20) for v, w in zip(views, self.weights, strict=True)] + [np.ones(views[0].n)])
         return 0.5 * (1 + np.tanh(0.5 * (x @ self.mix)))
 
-    def score(self, text: Column, lang: Column, source: Column) -> Column:
+    def score(self, text: Column, lang: Column, source: Column, size: Column) -> Column:
         """Probability of good quality; a null text counts as empty, nulls of the others as values of their own."""
         model = self
 
         @F.pandas_udf("double")
-        def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            for t, a, b in batches:
-                yield pd.Series(model.score_rows(t.tolist(), a.tolist(), b.tolist()))
+        @tidy
+        def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for t, a, b, n in batches:
+                parts = (slice(k, k + ROWS_AT_ONCE) for k in range(0, len(t), ROWS_AT_ONCE))
+                yield pd.Series(np.concatenate([np.zeros(0), *(model.score_rows(t[k].tolist(), a[k].tolist(), b[k].tolist(), n[k].tolist()) for k in parts)]))
 
-        return run(F.coalesce(text, F.lit("")), lang.cast("string"), source.cast("string"))
+        return run(F.coalesce(text, F.lit("")), lang.cast("string"), source.cast("string"), size.cast("double"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", max_labelled: int = 4_000, max_pool: int = 4_000, rounds: int = 4, share: float = 0.1, seed: int = 7) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars", label_col: str = "quality", max_labelled: int = 4_000, max_pool: int = 4_000, rounds: int = 4, share: float = 0.1, seed: int = 7) -> QualityModel:
     """Train outside the held-out fold.
 
-    Null labels and ids are left out; an id with both labels counts as good.
+    Null labels and ids are left out; an id with both labels counts as good;
+    of rows that repeat an id the least (text, language, source, size) trains.
     Without labels of both classes every document scores the share of good labels
     (0.5 without any).
     """
@@ -166,18 +164,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     good = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("k")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     chosen = (
         good.orderBy(order, "k").limit(max_labelled)
-        .union(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("k")).orderBy(F.xxhash64(F.lit(seed + 1), "k"), "k").limit(max_pool).select("k", F.lit(-1).alias("y")))
+        .union(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("k")).distinct().orderBy(F.xxhash64(F.lit(seed + 1), "k"), "k").limit(max_pool).select("k", F.lit(-1).alias("y")))
         .groupBy("k").agg(F.max("y").alias("y"))
     )
 
     def views(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            a, b = [text_view(t) for t in pdf["t"]], [metadata_view(*x) for x in zip(pdf["t"], pdf["lang"], pdf["source"], strict=True)]
+            a, b = [text_view(t) for t in pdf["t"]], [metadata_view(*x) for x in zip(pdf["lang"], pdf["source"], pdf["size"], strict=True)]
             yield pd.DataFrame({"k": pdf["k"], "y": pdf["y"], "tc": [c for c, _ in a], "tv": [v for _, v in a], "mc": [c for c, _ in b], "mv": [v for _, v in b]})
 
-    source = docs.select(F.col(id_col).cast("long").alias("k"), text_or_empty(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
-    got = source.join(F.broadcast(chosen.select(F.col("k").cast("long").alias("k"), "y")), "k").mapInPandas(views, "k long, y int, tc array<long>, tv array<double>, mc array<long>, mv array<double>").toPandas()
-    got = got.drop_duplicates("k").sort_values("k", kind="stable")
+    row = F.struct(text_or_empty(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(size_col).cast("double").alias("size"))
+    one = docs.select(F.col(id_col).alias("k"), row.alias("row")).join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("row").alias("row")).select("k", "y", "row.*")
+    kind = docs.schema[id_col].dataType.simpleString()
+    got = one.mapInPandas(tidy(views), f"k {kind}, y int, tc array<long>, tv array<double>, mc array<long>, mv array<double>").toPandas().sort_values("k", kind="stable")
     y = got["y"].to_numpy()
     rate = float((y == 1).sum() / max(1, (y >= 0).sum())) if len(y) else 0.5
     if not (y == 1).any() or not (y == 0).any():
@@ -189,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for f in range(FOLDS):
         hidden = np.where(fold == f, -2, y)  # -2: neither labelled nor in the pool
         if (hidden == 1).any() and (hidden == 0).any():
-            for k, w in enumerate(cotrain(both, hidden, rounds, share)):
+            for k, w in enumerate(cotrain(both, hidden, rounds, share)[0]):
                 unseen[fold == f, k] = both[k].odds(w)[fold == f]
     x = np.column_stack([np.clip(unseen, -20, 20), np.ones(len(y))])[y >= 0]
     # each view calibrated alone, then the two calibrated log odds combined
@@ -197,12 +196,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     z = np.column_stack([x[:, [k, 2]] @ slopes[k] for k in (0, 1)] + [np.ones(len(x))])
     top = _logistic(z, y[y >= 0].astype(float))
     mix = np.array([top[0] * slopes[0][0], top[1] * slopes[1][0], top[2] + top[0] * slopes[0][1] + top[1] * slopes[1][1]])
-    return QualityModel(cotrain(both, y, rounds, share), mix)
+    return QualityModel(cotrain(both, y, rounds, share)[0], mix)
 
 
 def op7_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality; the held-out labels were never seen."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", held_out().alias("held_out"), model.score(F.col("text"), F.col("lang"), F.col("source")).alias("score"))
+    scored = docs.select("doc_id", held_out().alias("held_out"), model.score(F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars")).alias("score"))
     return scored.withColumn("kept", F.col("score") >= 0.5).withColumn("predicted", F.col("kept").cast("int"))
