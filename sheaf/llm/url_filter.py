@@ -9,14 +9,18 @@ is looked up by all strings that a rule fitting it could have; a batch of
 those is digested and found by one vectorised binary search, and each hit is
 confirmed against the full stored string, so colliding digests do no harm.
 
-An index beyond ``max_index_bytes`` isn't shipped: candidates then meet the
-entries in a shuffled equi-join on the digest, confirmed by the string.
+Entries may come as a table. Its digests are computed and sorted by the
+executors and streamed into the file; a list beyond ``max_index_bytes`` gets
+several files, one for each range of digests, so the driver never holds more
+than one of them, and a digest is looked up in the file of its range.
 """
 
 from __future__ import annotations
 
+import math
 import mmap
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm._shared import ship, table
+from sheaf.llm._shared import ship, table, tidy
 
 MAGIC = b"SHEAFURL"
 BLOCK, ALLOW = 0, 1
@@ -75,18 +79,23 @@ class DigestArray:
         self.path_lengths = np.unique(self.lengths)
 
     @staticmethod
-    def build(entries: Iterable[tuple[str, str]], digest=xxhash.xxh64_intdigest) -> bytes:
+    def pack(rows: Iterable[tuple[int, str, int]]) -> bytes:
+        """The file's bytes; ``rows``: (digest, string, verdict), sorted, each string once."""
+        digests, offsets, verdicts, lengths, text = array("Q"), array("Q", [0]), bytearray(), array("I"), bytearray()
+        for d, s, v in rows:
+            digests.append(d)
+            text += s.encode("utf-8", "surrogatepass")
+            offsets.append(len(text))
+            verdicts.append(v)
+            lengths.append(len(s) - s.find("/") if "/" in s else 0)
+        head = MAGIC + struct.pack("<QQ", len(digests), len(text))
+        parts = [head, digests.tobytes(), offsets.tobytes(), bytes(verdicts)]
+        return b"".join([*parts, b"\0" * (-sum(map(len, parts)) % 4), lengths.tobytes(), bytes(text)])
+
+    @classmethod
+    def build(cls, entries: Iterable[tuple[str, str]], digest=xxhash.xxh64_intdigest) -> bytes:
         """The file's bytes. An entry that comes twice keeps its last verdict."""
-        verdict_of = {s: VERDICTS.index(v) for v, s in entries}
-        rows = sorted((digest(s), s, v) for s, v in verdict_of.items())
-        blobs = [s.encode("utf-8", "surrogatepass") for _, s, _ in rows]
-        offsets = np.zeros(len(rows) + 1, "<u8")
-        np.cumsum([len(b) for b in blobs], out=offsets[1:]) if rows else None
-        lengths = [len(s) - s.find("/") if "/" in s else 0 for _, s, _ in rows]
-        head = MAGIC + struct.pack("<QQ", len(rows), int(offsets[-1]))
-        body = np.array([d for d, _, _ in rows], "<u8").tobytes() + offsets.tobytes() + bytes(v for _, _, v in rows)
-        pad = b"\0" * (-(len(head) + len(body)) % 4)
-        return head + body + pad + np.array(lengths, "<u4").tobytes() + b"".join(blobs)
+        return cls.pack(sorted((digest(s), s, VERDICTS.index(v)) for s, v in {s: v for v, s in entries}.items()))
 
     @classmethod
     def open(cls, path: str) -> DigestArray:
@@ -134,96 +143,90 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-_OPEN: dict[str, DigestArray] = {}
+#: Seed of Spark's xxhash64, which digests the entries.
+SEED = 42
+
+
+def _entries(spark: SparkSession, rules, blocked_hosts) -> DataFrame:
+    """(s, v, d) of all entries: kind letter and string, verdict, digest."""
 
+    def as_table(given, schema: str) -> DataFrame:
+        return given if isinstance(given, DataFrame) else spark.createDataFrame(list(given), schema)
 
-def _mapped(name: str) -> DigestArray:
-    if name not in _OPEN:
-        _OPEN.clear()
-        _OPEN[name] = DigestArray.open(SparkFiles.get(name))
-    return _OPEN[name]
+    rules = as_table(rules, "verdict string, entry string").select(F.col("verdict").alias("v"), F.concat(F.lit("r"), "entry").alias("s"))
+    hosts = as_table([(h,) for h in blocked_hosts] if not isinstance(blocked_hosts, DataFrame) else blocked_hosts, "entry string").select(F.lit("block").alias("v"), F.concat(F.lit("h"), "entry").alias("s"))
+    both = rules.union(hosts).where(F.col("s").isNotNull())
+    # an entry that is listed both ways blocks
+    return both.groupBy("s").agg(F.when(F.max((F.col("v") == "block").cast("int")) == 1, BLOCK).otherwise(ALLOW).alias("v")).withColumn("d", F.xxhash64("s"))
+
+
+def _ship_index(spark: SparkSession, entries: DataFrame, max_index_bytes: int) -> tuple[list[str], int]:
+    """Names of the index's files, by digest range, and how many leading bits of a digest tell its file."""
+    total = entries.agg(F.sum(F.octet_length("s") + 21)).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, total / max_index_bytes))))
+    part = F.shiftrightunsigned("d", 64 - bits) if bits else F.lit(0)
+    names = []
+    for k in range(1 << bits):
+        rows = entries.where(part == k).orderBy(F.col("d") < 0, "d", "s").toLocalIterator()  # unsigned order
+        names.append(ship(spark, DigestArray.pack((r["d"] % (1 << 64), r["s"], r["v"]) for r in rows), "urls"))
+    return names, bits
 
 
 def judge(
     pages: DataFrame,
-    rules: Iterable[tuple[str, str]] = RULES,
-    blocked_hosts: Iterable[str] = BLOCKED_HOSTS,
+    rules: Iterable[tuple[str, str]] | DataFrame = RULES,
+    blocked_hosts: Iterable[str] | DataFrame = BLOCKED_HOSTS,
     url_col: str = "url",
     default: str = "allow",
-    max_index_bytes: int = 512 << 20,
+    max_index_bytes: int = 128 << 20,
 ) -> DataFrame:
     """``pages`` with host, path, rule, entry and verdict of each URL.
 
-    A rule or entry fits its host and all subdomains if the path starts with
-    its path; the longest string wins. ``rule`` is the winning rule's string,
-    null where none fits; then ``verdict`` is block if a blocked host fits and
-    ``default`` otherwise. A null URL or one without ``://`` has empty host
-    and path and fits only rules with an empty host. Repeated rows are judged
-    alike; an empty table gives no rows. Columns of ``pages`` that clash with
-    the new ones are replaced.
+    ``rules`` are (verdict, string) pairs or a table (verdict, entry),
+    ``blocked_hosts`` strings or a table (entry). A rule or entry fits its host
+    and all subdomains if the path starts with its path; the longest string
+    wins, of equally long ones the one with the longer host. ``rule`` is the
+    winning rule's string, null where none fits; then ``verdict`` is block if a
+    blocked host fits and ``default`` otherwise. A null URL or one without
+    ``://`` has empty host and path and fits only rules with an empty host.
+    Null entries are left out; one listed both ways blocks. Repeated rows are
+    judged alike, long URLs whole; an empty table gives no rows. Columns of
+    ``pages`` that clash with the new ones are replaced.
     """
     spark = pages.sparkSession
-    rules, hosts = list(rules), [("block", h) for h in blocked_hosts]
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "entry", "verdict")]
     parsed = pages.withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))}).select(*kept, "host", "path")
-    tagged = [(v, "r" + s) for v, s in rules] + [(v, "h" + s) for v, s in hosts]
-    if sum(64 + len(s) * 3 for _, s in tagged) <= max_index_bytes:
-        return _judge_mapped(parsed, DigestArray.build(tagged), default)
-    return _judge_joined(parsed, tagged, default)
-
-
-def _judge_mapped(parsed: DataFrame, blob: bytes, default: str) -> DataFrame:
-    name = ship(parsed.sparkSession, blob, "urls")
+    names, bits = _ship_index(spark, _entries(spark, rules, blocked_hosts), max_index_bytes)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parsed.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = _mapped(name)
+        files = [DigestArray.open(SparkFiles.get(n)) for n in names]
+        lengths = np.unique(np.concatenate([f.path_lengths for f in files]))
         for pdf in batches:
             strings, owner = [], []
             for i, (host, path) in enumerate(zip(pdf["host"], pdf["path"], strict=True)):
-                for s in candidates(host, path, index.path_lengths):
+                for s in candidates(host, path, lengths):
                     strings += ("r" + s, "h" + s)
                     owner += (i, i)
-            digests = np.fromiter((xxhash.xxh64_intdigest(s) for s in strings), np.uint64, len(strings))
-            at = index.find(strings, digests)
-            best: dict[tuple[int, str], tuple[int, int]] = {}
-            for j in np.nonzero(at >= 0)[0]:
-                key = (owner[j], strings[j][0])
-                best[key] = max(best.get(key, (-1, -1)), (len(strings[j]), int(j)))
+            digests = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in strings), np.uint64, len(strings))
+            which = (digests >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(digests), np.int64)
+            won: dict[tuple[int, str], tuple[int, int, str]] = {}
+            for k in np.unique(which):
+                rows = np.nonzero(which == k)[0]
+                found = files[k].find([strings[j] for j in rows], digests[rows])
+                for j, at in zip(rows[found >= 0].tolist(), found[found >= 0].tolist(), strict=True):
+                    key = (owner[j], strings[j][0])
+                    # candidates come longest host first
+                    won[key] = max(won.get(key, (0, 0, "")), (len(strings[j]), -j, VERDICTS[files[k].verdicts[at]]))
             rule, entry, verdict = [None] * len(pdf), [None] * len(pdf), [default] * len(pdf)
             for kind in ("h", "r"):  # a rule overrides a block list entry
-                for (i, k), (_, j) in best.items():
+                for (i, k), (_, j, v) in won.items():
                     if k == kind:
-                        (rule if kind == "r" else entry)[i] = strings[j][1:]
-                        verdict[i] = VERDICTS[index.verdicts[at[j]]]
+                        (rule if kind == "r" else entry)[i] = strings[-j][1:]
+                        verdict[i] = v
             yield pdf.assign(rule=rule, entry=entry, verdict=verdict)
 
-    return parsed.mapInPandas(run, f"{fields}, rule string, entry string, verdict string")
-
-
-def _judge_joined(parsed: DataFrame, tagged: list[tuple[str, str]], default: str) -> DataFrame:
-    """The same for lists too large to ship: an equi-join on digest and string."""
-    spark = parsed.sparkSession
-    lengths = sorted({len(s) - s.find("/") if "/" in s else 0 for _, s in tagged})
-    entries = spark.createDataFrame([(v, s) for v, s in dict((s, v) for v, s in tagged).items()], "s string, v string").withColumn("d", F.xxhash64("s"))
-    labels = F.split("host", r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
-    heads = F.filter(F.array(*[F.when(F.length("path") >= n, F.col("path").substr(1, n)) for n in lengths]), lambda x: x.isNotNull())
-    urls = parsed.withColumn("_u", F.monotonically_increasing_id())
-    one = parsed.select("host", "path").distinct()
-    cands = one.select("host", "path", F.explode(tails).alias("t")).select("host", "path", "t", F.explode(heads).alias("p")).select(
-        "host", "path", F.explode(F.array(F.concat(F.lit("r"), "t", "p"), F.concat(F.lit("h"), "t", "p"))).alias("s")
-    ).withColumn("d", F.xxhash64("s"))
-    win = cands.join(entries, ["d", "s"]).groupBy("host", "path").agg(
-        F.max(F.when(F.col("s").startswith("r"), F.struct(F.length("s").alias("n"), F.col("s"), F.col("v")))).alias("r"),
-        F.max(F.when(F.col("s").startswith("h"), F.struct(F.length("s").alias("n"), F.col("s"), F.col("v")))).alias("h"),
-    )
-    return urls.join(win, ["host", "path"], "left").select(
-        *parsed.columns,
-        F.substring(F.col("r.s"), 2, 1 << 30).alias("rule"),
-        F.substring(F.col("h.s"), 2, 1 << 30).alias("entry"),
-        F.coalesce("r.v", "h.v", F.lit(default)).alias("verdict"),
-    )
+    return parsed.mapInPandas(tidy(run), f"{fields}, rule string, entry string, verdict string")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
