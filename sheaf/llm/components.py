@@ -6,10 +6,10 @@ a graph that fits one task is done at once. Larger graphs go on with
 alternating large-star and small-star steps (Kiveris et al., 2014): each
 vertex hangs its larger neighbours on the least vertex it knows, until every
 component is a star around its least vertex. The number of rounds grows with
-the logarithm of the longest chain. Each round is written to the shared
+the logarithm of the longest chain. Each step is written to the shared
 folder, so lineage stays short; only two counters reach the driver. A vertex
-with very many links costs one aggregated row per task and a join that
-adaptive execution can split.
+with very many links costs one aggregated row per task, and the joins deal its
+links over several tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm._shared import Scratch
+from sheaf.llm._shared import Scratch, spread_join, tidy
 
 EDGES_PER_TASK = 500_000
 
@@ -58,16 +58,16 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     around = _both_ways(edges)
     least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return spread_join(around.where("v > u"), least, ["u"], "v", scratch).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``edges`` with u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    hung = edges.join(least, "u")
+    hung = spread_join(edges, least, ["u"], "v", scratch)
     return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -84,8 +84,15 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "cc", edges_per_ta
             break
         state, k = (n, digest), k + 1
         tasks = -(-n // edges_per_task)
-        local = now.coalesce(tasks).mapInPandas(_contract, "u long, v long")
-        now = scratch.keep(local if tasks == 1 else _small_star(_large_star(local)), f"{tag}{k}")
+        dealt = now.coalesce(1) if tasks == 1 else now.repartition(tasks)  # fewer partitions alone wouldn't split a large one
+        local = scratch.keep(dealt.mapInPandas(tidy(_contract), "u long, v long"), f"{tag}{k}" if tasks == 1 else f"{tag}{k}local")
+        if tasks == 1:
+            now = local
+        else:
+            large = scratch.keep(_large_star(local, scratch), f"{tag}{k}large")
+            now = scratch.keep(_small_star(large, scratch), f"{tag}{k}")
+            scratch.drop(f"{tag}{k}local")
+            scratch.drop(f"{tag}{k}large")
         scratch.drop(f"{tag}{k - 1}")
         if tasks == 1:
             break

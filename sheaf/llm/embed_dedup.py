@@ -23,12 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm._shared import Scratch, table
+from sheaf.llm._shared import Scratch, spread_join, table, tidy
 from sheaf.llm.components import components, least_labels
 
 BLOCK = 1024
 #: Neighbouring numbers of cells that are placed as one, and blocks on a side of a task.
 TOGETHER = 4
+#: Numbers in a table of rows by cells.
+NUMBERS_AT_ONCE = 1_000_000
 
 
 def fit_centroids(x: np.ndarray, k: int, seed: int = 3, rounds: int = 12) -> np.ndarray:
@@ -85,7 +87,7 @@ def _pack(rows: DataFrame, dtype: str) -> DataFrame:
         for pdf in batches:
             yield pdf.assign(v=[np.asarray(v, dtype).tobytes() for v in pdf["v"]])
 
-    return rows.mapInPandas(run, ", ".join(f"{f.name} {'binary' if f.name == 'v' else f.dataType.simpleString()}" for f in rows.schema))
+    return rows.mapInPandas(tidy(run), ", ".join(f"{f.name} {'binary' if f.name == 'v' else f.dataType.simpleString()}" for f in rows.schema))
 
 
 def _block_links(rows: np.ndarray, cols: np.ndarray, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +160,7 @@ def link_vectors(
         classes.select("id", "n", "h1", "h2").join(counts, "id", "left").join(groups, F.col("id") == F.col("node"), "left")
         .select("h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
-    linked = rows.select("id", "h1", "h2").join(by_class, ["h1", "h2"]).select(F.col("id").alias("k"), "n_links", "component_id")
+    linked = spread_join(rows.select("id", "h1", "h2"), by_class, ["h1", "h2"], "id", scratch, counts=classes.select("h1", "h2", F.col("n").alias("count"))).select(F.col("id").alias("k"), "n_links", "component_id")
     linked = linked.groupBy("k").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     return ids.join(linked, F.col("vec_id") == F.col("k"), "left").select(
         "vec_id",
@@ -175,16 +177,17 @@ def _links(rows: DataFrame, centroids: np.ndarray, cosine: float, margin: float
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            home, row, cell = cells_of(unit_rows(pdf["v"].tolist(), dtype), c, cosine, margin)
-            home, cell = home // TOGETHER, cell // TOGETHER
-            row, cell = np.unique(np.c_[row, cell][cell < home[row]], axis=0).T
-            at = np.r_[np.arange(len(pdf)), row]
-            yield pd.DataFrame({"cell": np.r_[home, cell].astype(np.int64), "guest": np.r_[np.zeros(len(pdf), bool), np.ones(len(row), bool)], "id": pdf["id"].to_numpy()[at], "n": pdf["n"].to_numpy()[at], "v": pdf["v"].to_numpy()[at]})
-
-    placed = scratch.keep(rows.mapInPandas(place, "cell long, guest boolean, id long, n long, v binary"), f"placed{dim}")
+        rows_at_once = max(1, NUMBERS_AT_ONCE // len(c))
+        for batch in batches:
+            for k in range(0, len(batch), rows_at_once):
+                pdf = batch.iloc[k : k + rows_at_once]
+                home, row, cell = cells_of(unit_rows(pdf["v"].tolist(), dtype), c, cosine, margin)
+                home, cell = home // TOGETHER, cell // TOGETHER
+                row, cell = np.unique(np.c_[row, cell][cell < home[row]], axis=0).T
+                at = np.r_[np.arange(len(pdf)), row]
+                yield pd.DataFrame({"cell": np.r_[home, cell].astype(np.int64), "guest": np.r_[np.zeros(len(pdf), bool), np.ones(len(row), bool)], "id": pdf["id"].to_numpy()[at], "n": pdf["n"].to_numpy()[at], "v": pdf["v"].to_numpy()[at]})
+
+    placed = scratch.keep(rows.mapInPandas(tidy(place), "cell long, guest boolean, id long, n long, v binary"), f"placed{dim}")
     sizes = (
         placed.groupBy("cell").agg(F.sum((~F.col("guest")).cast("int")).alias("own"), F.sum(F.col("guest").cast("int")).alias("guests"))
         .select("cell", F.ceil(F.col("own") / (TOGETHER * BLOCK)).cast("int").alias("nb"), F.ceil(F.col("guests") / (TOGETHER * BLOCK)).cast("int").alias("ng"))
