@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm._shared import Scratch, table
+from sheaf.llm._shared import Scratch, spread_join, table
 
 MIN_SITES = 3
 MIN_WORDS = 4
@@ -44,18 +44,19 @@ def _lines(docs: DataFrame, text_col: str, source_col: str, id_col: str, min_wor
     )
 
 
-def boilerplate(lines: DataFrame, min_sites: int, scratch: Scratch) -> DataFrame:
-    """(h1, h2, first) of the lines on ``min_sites`` distinct sites or more; first: (doc, row, pos) that keeps it.
+def boilerplate(lines: DataFrame, min_sites: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(h1, h2, first) of the lines on ``min_sites`` distinct sites or more, first being the (doc, row, pos) that keeps it; places and counts of all lines that come into question.
 
     Lines that stand in fewer than ``min_sites`` places, or on one site only,
     cannot get there; plain counts sort them out before any sketch is built.
+    Joins deal the places of a hot line over several tasks.
     """
     mark = F.xxhash64("site")
-    often = (
-        lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(mark).alias("lo"), F.max(mark).alias("hi"))
-        .where((F.col("n") >= min_sites) & (F.col("lo") != F.col("hi"))).select("h1", "h2")
+    often = scratch.keep(
+        lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("count"), F.min(mark).alias("lo"), F.max(mark).alias("hi"))
+        .where((F.col("count") >= min_sites) & (F.col("lo") != F.col("hi"))).select("h1", "h2", "count"), "often"
     )
-    some = scratch.keep(lines.join(often, ["h1", "h2"], "left_semi"), "often")
+    some = scratch.keep(spread_join(lines, often.select("h1", "h2"), ["h1", "h2"], "doc", scratch, "left_semi", often), "some")
     spread = (
         some.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("doc", "row", "pos")).alias("first"))
         .select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
@@ -64,13 +65,14 @@ def boilerplate(lines: DataFrame, min_sites: int, scratch: Scratch) -> DataFrame
     spread = scratch.keep(spread, "spread")
     near = spread.where(F.col("sites") < min_sites * (1 + BAND))
     exact = (
-        some.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
+        spread_join(some, near.select("h1", "h2"), ["h1", "h2"], "doc", scratch, "left_semi", often)
         .groupBy("h1", "h2", "site").agg(F.lit(1).alias("one"))
         .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("sites"))
         .where(F.col("sites") >= min_sites)
     )
     clear = spread.where(F.col("sites") >= min_sites * (1 + BAND))
-    return clear.select("h1", "h2", "first").union(near.join(exact.select("h1", "h2"), ["h1", "h2"]).select("h1", "h2", "first"))
+    found = clear.select("h1", "h2", "first").union(near.join(exact.select("h1", "h2"), ["h1", "h2"]).select("h1", "h2", "first"))
+    return scratch.keep(found, "found"), some, often
 
 
 def _without(text: Column, gone: Column) -> Column:
@@ -94,9 +96,10 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: i
         raise ValueError("min_sites must be 2 or more")
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.keep(_lines(docs, text_col, source_col, id_col, min_words), "lines")
-    found = boilerplate(lines, min_sites, scratch)
+    found, some, often = boilerplate(lines, min_sites, scratch)
+    scratch.drop("lines")
     gone = (
-        scratch.keep(lines.join(found, ["h1", "h2"]), "found")
+        scratch.keep(spread_join(some, found, ["h1", "h2"], "doc", scratch, counts=often), "places")
         .where(~F.struct("doc", "row", "pos").eqNullSafe(F.col("first")))
         .groupBy("doc", "row").agg(F.collect_set("pos").alias("gone"))
         .select(F.col("doc").alias("_sheaf_doc"), F.col("row").alias("_sheaf_row"), F.col("gone").alias("_sheaf_gone"))
