@@ -8,25 +8,34 @@ bucket of a table if those short sequences are equal, which needs the same
 k-mers in the same order. That makes the sketch sensitive to edit similarity
 and not just to shared vocabulary (Marcais et al., 2019).
 
-Similarity is s = L / (n + m - L) for texts of n and m distinct k-mers, in the
-order of their first occurrences, with a longest common subsequence of L: the
-Jaccard index of what an alignment can match in order. L >= s (n + m) / (1 + s) bounds how far off the diagonal an
+Two texts are near duplicates if their words align and enough k-mers are
+shared: s = L / max(n, m) is 0.8 or more for texts of n and m words with a
+longest common subsequence of L words, and the Jaccard index of their labelled
+k-mers is 0.5 or more. Repeated words and k-mers count as often as they stand
+there, so a text isn't like itself written twice. The alignment measures
+likeness by edits: a copy with one word in ten changed keeps s = 0.9, while
+its five-word shingles fall to a Jaccard index near 0.5, which is as far as
+the sketch reaches. L >= s max(n, m) bounds how far off the diagonal an
 alignment can go, so only that band is searched, by bit-parallel rows.
 
 Texts with equal word sequences are one class from the start. Members of a
 bucket are compared with three representatives of the bucket (least and
 greatest under one hash order, least under another that differs by table),
 never all with all: the comparisons of a bucket grow linearly with it. Buckets
-of up to about three texts are compared in full. Links close into components;
+of up to three texts are compared in full. Links close into components;
 then, in further rounds, members of a bucket that spans several components are
 compared with the bucket's hubs in other components (the member with most
 links, and the one most alike to what it links with), which joins most groups
 cheaply. What is left is exact: all members of buckets of more than three
 texts that still span components meet by prefix filtering. Two sets of n k-mers
-with a Jaccard index of s share one of the first n - ceil(s n) + 1 in any order
+with a Jaccard index of j share one of the first n - ceil(j n) + 1 in any order
 common to all; with the rarest first, texts of one template meet only where
 more than the template agrees. Every pair of different components that meets
 is verified, so no pair that shares a bucket is left out.
+
+A text class is known by the number it got when its table was written, its
+place in hash orders by the digest of its words: neither depends on ids, which
+may repeat or be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -42,33 +51,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm._shared import Scratch, table, text_or_empty
+from sheaf.llm._shared import Scratch, spread_join, table, task_cache, text_or_empty, tidy
 from sheaf.llm.components import components
 
 WORD = re.compile(r"\w+")
 K = 5
 TABLES, MINIMA = 24, 3
-SIMILARITY = 0.8
+#: Least part of the words that align, and least Jaccard index of the k-mers.
+SIMILARITY, OVERLAP = 0.8, 0.5
 #: Bins of the one-permutation sketch that sorts out hopeless candidates.
 BINS = 128
 _MIX1, _MIX2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 #: Counters that rank k-mers by how common they are; k-mers may share one, which costs candidates but no link.
 COUNTERS = 1 << 20
-#: Labelled k-mers times tables that are hashed at once.
+#: Labelled k-mers times tables that are hashed at once; texts whose sketches or prefixes are handed on together;
+#: words of aligned texts that a task remembers.
 CELLS_AT_ONCE = 1 << 18
+ROWS_AT_ONCE = 1000
+WORDS_KEPT = 2_000_000
 
 
 class _WordHash(dict):
     """Digest of each word met, forgotten when too many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 150_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_HASH = _WordHash()
+_HASH = task_cache(_WordHash())
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,11 +90,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def kmers(words: list[str]) -> np.ndarray:
-    """Digest of every k-mer in text order; of a shorter text, one of all its words."""
-    if not words:
+def digests(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+
+
+def kmers(h: np.ndarray) -> np.ndarray:
+    """Digest of every k-mer in text order, given its words'; of a shorter text, one of all its words."""
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - K + 1)
     out = np.zeros(n, np.uint64)
     for i in range(min(K, len(h))):
@@ -89,12 +105,6 @@ def kmers(words: list[str]) -> np.ndarray:
     return out
 
 
-def distinct(x: np.ndarray) -> np.ndarray:
-    """Each element once, in the order of first occurrences."""
-    _, at = np.unique(x, return_index=True)
-    return x[np.sort(at)]
-
-
 def occurrences(x: np.ndarray) -> np.ndarray:
     """How often each element stood before."""
     order = np.argsort(x, kind="stable")
@@ -108,17 +118,22 @@ def occurrences(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def labelled(x: np.ndarray) -> np.ndarray:
+    """The k-mers with their occurrence numbers mixed in: no two are equal."""
+    return _mix(x + occurrences(x) * _STEP)
+
+
 def sketch(x: np.ndarray, tables: int = TABLES, minima: int = MINIMA) -> np.ndarray:
     """One bucket key per table."""
     if not len(x):
         return np.zeros(0, np.int64)
-    labelled = _mix(x + occurrences(x) * _STEP)
+    own = labelled(x)
     keys = np.empty(tables, np.uint64)
     few = min(minima, len(x))
     at_once = max(1, CELLS_AT_ONCE // len(x))
     for a in range(0, tables, at_once):
         seeds = (np.arange(a + 1, min(tables, a + at_once) + 1, dtype=np.uint64) * _STEP)[:, None]
-        h = (labelled[None, :] ^ seeds) * _MIX1
+        h = (own[None, :] ^ seeds) * _MIX1
         h ^= h >> np.uint64(31)
         h *= _MIX2
         at = np.argpartition(h, few - 1, axis=1)[:, :few] if few < len(x) else np.tile(np.arange(len(x)), (len(seeds), 1))
@@ -131,25 +146,25 @@ def sketch(x: np.ndarray, tables: int = TABLES, minima: int = MINIMA) -> np.ndar
 
 
 def signature(x: np.ndarray) -> bytes:
-    """One-permutation sketch: per bin of the k-mers' digests one byte of the least; 0 for an empty bin."""
+    """One-permutation sketch: per bin of the labelled k-mers one byte of the least; 0 for an empty bin."""
     out = np.zeros(BINS, np.uint8)
     if len(x):
-        h = np.unique(_mix(x ^ _STEP))
+        h = np.sort(_mix(labelled(x) ^ _STEP))
         bins = (h >> np.uint64(57)).astype(np.int64)
         first = np.r_[True, bins[1:] != bins[:-1]]
         out[bins[first]] = (h[first] % np.uint64(255)).astype(np.uint8) + 1
     return out.tobytes()
 
 
-def hopeful(a: list[bytes], b: list[bytes], similarity: float) -> np.ndarray:
-    """False where the sketches are six standard errors below ``similarity``."""
+def hopeful(a: list[bytes], b: list[bytes], overlap: float) -> np.ndarray:
+    """False where the sketches are six standard errors below ``overlap``."""
     if not a:
         return np.zeros(0, bool)
     x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, BINS) for s in (a, b))
     used = ((x > 0) | (y > 0)).sum(axis=1)
     equal = ((x == y) & (x > 0)).sum(axis=1)
-    error = np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1))
-    return equal >= (similarity - 6 * error) * used
+    error = np.sqrt(overlap * (1 - overlap) / np.maximum(used, 1))
+    return equal >= (overlap - 6 * error) * used
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -190,119 +205,135 @@ def common_subsequence(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return found + width - live.bit_count()
 
 
-def similarity_of(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Aligned similarity where it is ``least`` or more, else 0."""
+def similarity_of(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, overlap: float = OVERLAP) -> float:
+    """Part of the words (digests) that align if it is ``least`` or more and the k-mers overlap enough, else 0."""
     n, m = len(a), len(b)
-    if not n or not m or min(n, m) < least * max(n, m):
+    longer = max(n, m)
+    if not n or not m or min(n, m) < least * longer:
         return 0.0
-    need = least * (n + m) / (1 + least)
-    # what any alignment could match at most: the k-mers in common, with multiplicity
-    both = np.r_[a, b]
-    _, place = np.unique(both, return_inverse=True)
-    size = place.max() + 1
-    if np.minimum(np.bincount(place[:n], minlength=size), np.bincount(place[n:], minlength=size)).sum() < need - 1e-9:
+    x, y = labelled(kmers(a)), labelled(kmers(b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    if both < overlap * (len(x) + len(y) - both) - 1e-9:
         return 0.0
-    band = int(n + m - 2 * need) + 1
-    common = common_subsequence(a, b, band)
-    s = common / (n + m - common)
-    return s if s >= least - 1e-12 else 0.0
+    need = math.ceil(least * longer - 1e-9)
+    common = common_subsequence(a, b, n + m - 2 * need)
+    return common / longer if common >= need else 0.0
+
+
+def _words(text: str) -> np.ndarray:
+    return digests(WORD.findall(text.lower()))
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, tables: int = TABLES, minima: int = MINIMA) -> DataFrame:
-    """(doc, d1, d2, n, sig, keys) of every row: digest of its words, number of distinct k-mers, both sketches."""
+    """(doc, row, d1, d2, n, sig, keys) of every row: digest of its text and of its words, number of words, both sketches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for t in pdf["t"]:
-                words = WORD.findall(t.lower())
-                x = kmers(words)
-                d = xxhash.xxh3_128_digest(" ".join(words))
-                rows.append((int.from_bytes(d[:8], signed=True), int.from_bytes(d[8:], signed=True), len(distinct(x)), signature(x), sketch(x, tables, minima)))
-            out = pd.DataFrame(rows, columns=["d1", "d2", "n", "sig", "keys"])
-            out.insert(0, "doc", pdf["doc"].array)
-            yield out
-
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("t"))
-    return source.mapInPandas(run, "doc long, d1 long, d2 long, n int, sig binary, keys array<long>")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b) that align; ``texts``: (id, text)."""
+            for at in range(0, len(pdf), ROWS_AT_ONCE):
+                part = pdf.iloc[at : at + ROWS_AT_ONCE]
+                rows = []
+                for t in part["t"]:
+                    words = WORD.findall(t.lower())
+                    x = kmers(digests(words))
+                    d = xxhash.xxh3_128_digest(" ".join(words))
+                    rows.append((int.from_bytes(d[:8], signed=True), int.from_bytes(d[8:], signed=True), len(words), signature(x), sketch(x, tables, minima)))
+                out = pd.DataFrame(rows, columns=["d1", "d2", "n", "sig", "keys"])
+                out.insert(0, "row", part["row"].to_numpy())
+                out.insert(0, "doc", part["doc"].array)
+                yield out
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("row"), text_or_empty(text_col).alias("t"))
+    return source.mapInPandas(tidy(run), f"doc {kind}, row long, d1 long, d2 long, n int, sig binary, keys array<long>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, overlap: float, scratch: Scratch) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) that are near duplicates; ``texts``: (id, text). Both are written tables."""
     one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, np.ndarray] = {}
+        size = 0
         for pdf in batches:
-            known: dict[int, np.ndarray] = {}
             s = []
             for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
-                if len(known) > 2_000:
+                if size > WORDS_KEPT:
                     known.clear()
+                    size = 0
                 for k, t in ((a, ta), (b, tb)):
                     if k not in known:
-                        known[k] = distinct(kmers(WORD.findall(t.lower())))
-                s.append(similarity_of(known[a], known[b], similarity))
+                        known[k] = _words(t)
+                        size += len(known[k])
+                s.append(similarity_of(known[a], known[b], similarity, overlap))
             out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": np.array(s, float)})
             yield out[out["similarity"] > 0]
 
-    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInPandas(run, "a long, b long, similarity double")
+    left = spread_join(pairs.select("a", "b"), one, ["a"], "b", scratch)
+    return left.join(two, "b").mapInPandas(tidy(run), "a long, b long, similarity double")
 
 
 def _counter(x: np.ndarray) -> np.ndarray:
     return (_mix(x) % np.uint64(COUNTERS)).astype(np.int64)
 
 
-def prefix(x: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rarest k-mers of the distinct ``x``, one of which any set of that Jaccard index has in its own prefix too, and their ranks in ``x``.
+def prefix(x: np.ndarray, common: np.ndarray, overlap: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest of the distinct ``x``, one of which any set of that Jaccard index has in its own prefix too, and their ranks in ``x``.
 
     ``common`` counts texts by counter. A k-mer alone on its counter stands in no other text and is left out.
     """
     n = common[_counter(x)]
-    order = np.lexsort((x, n))[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]
+    order = np.lexsort((x, n))[: len(x) - math.ceil(overlap * len(x) - 1e-9) + 1]
     rank = np.nonzero(n[order] > 1)[0]
     return x[order[rank]], rank
 
 
-def postings(texts: DataFrame, similarity: float) -> DataFrame:
-    """(kmer, rank, id, component, n) of every text's prefix; ``texts``: (id, component, text)."""
+def postings(texts: DataFrame, overlap: float) -> DataFrame:
+    """(kmer, rank, id, component, words, n) of every text's prefix; ``texts``: (id, component, text), a written table."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(COUNTERS, np.int64)
         for pdf in batches:
             for t in pdf["text"]:
-                np.add.at(total, _counter(np.unique(kmers(WORD.findall(t.lower())))), 1)
+                np.add.at(total, _counter(labelled(kmers(_words(t)))), 1)
         at = np.nonzero(total)[0]
         yield pd.DataFrame({"at": at, "n": total[at]})
 
-    counts = texts.select("text").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    counts = texts.select("text").mapInPandas(tidy(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
     common = np.ones(COUNTERS, np.int64)
     common[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = [np.unique(kmers(WORD.findall(t.lower()))) for t in pdf["text"]]
-            heads = [prefix(x, shared.value, similarity) for x in sets]
-            times = [len(h) for h, _ in heads]
-            yield pd.DataFrame({
-                "kmer": np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in heads)]).view(np.int64), "rank": np.concatenate([np.zeros(0, np.int64), *(r for _, r in heads)]), "id": np.repeat(pdf["id"].to_numpy(np.int64), times),
-                "component": np.repeat(pdf["component"].to_numpy(np.int64), times), "n": np.repeat(np.array([len(x) for x in sets], np.int64), times),
-            })
+            for at in range(0, len(pdf), ROWS_AT_ONCE):
+                part = pdf.iloc[at : at + ROWS_AT_ONCE]
+                words = [_words(t) for t in part["text"]]
+                sets = [labelled(kmers(w)) for w in words]
+                heads = [prefix(x, shared.value, overlap) for x in sets]
+                times = [len(h) for h, _ in heads]
 
-    return texts.mapInPandas(first, "kmer long, rank long, id long, component long, n long")
+                def each(values, times=times):
+                    return np.repeat(np.asarray(values, np.int64), times)
 
+                yield pd.DataFrame({
+                    "kmer": np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in heads)]).view(np.int64), "rank": np.concatenate([np.zeros(0, np.int64), *(r for _, r in heads)]),
+                    "id": each(part["id"]), "component": each(part["component"]), "words": each([len(w) for w in words]), "n": each([len(x) for x in sets]),
+                })
 
-def meetings(prefixes: DataFrame, similarity: float) -> DataFrame:
+    return texts.mapInPandas(tidy(first), "kmer long, rank long, id long, component long, words long, n long")
+
+
+def meetings(prefixes: DataFrame, similarity: float, overlap: float) -> DataFrame:
     """(a, b), a < b: the pairs of texts that share a k-mer of ``postings`` and not a component.
 
     If that is the first k-mer they share, nothing rarer counts for their
-    overlap; where the rest is too short for an alignment, they don't meet.
+    overlap; where the rest is too short for it, or one text for an alignment
+    with the other, they don't meet.
     """
     spans = prefixes.groupBy("kmer").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("kmer")
     some = prefixes.join(spans, "kmer", "left_semi")
-    one = some.select("kmer", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), (F.col("n") - F.col("rank")).alias("ra"))
-    two = some.select("kmer", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), (F.col("n") - F.col("rank")).alias("rb"))
-    fits = F.least("ra", "rb") >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9
+    one, two = (some.select("kmer", F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("words").alias(f"w{x}"), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("rank")).alias(f"r{x}")) for x in "ab")
+    fits = (F.least("ra", "rb") >= overlap / (1 + overlap) * (F.col("na") + F.col("nb")) - 1e-9) & (F.least("wa", "wb") >= similarity * F.greatest("wa", "wb"))
     return one.join(two, (one["kmer"] == two["kmer"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
 
 
@@ -313,58 +344,71 @@ def near_duplicates(
     text_col: str = "text",
     tables: int = TABLES,
     minima: int = MINIMA,
-    rounds: int = 4,
+    rounds: int = 3,
+    overlap: float = OVERLAP,
 ) -> tuple[DataFrame, DataFrame]:
-    """Membership (doc_id, class_id, text_class, kept) per row, and links (a, b, similarity) of text classes.
-
-    ``class_id`` is the least doc_id reachable by links, ``text_class`` the
-    least one with the same words, ``kept`` whether the row's id is its
-    class_id. Case and anything but word characters don't count. Null texts
-    are empty; texts without words are one class; texts of fewer than five
-    words link only with equal ones. A row with a null id is a class of its
-    own (class_id null) and kept. Rows that repeat an id belong together if
-    their words agree; otherwise the id's least class counts for all. An empty
-    table gives no rows.
+    """Membership (doc_id, class_id, text_class, kept) per row, and links (a, b, similarity) of text classes' doc_ids.
+
+    ``class_id`` is the least doc_id of all texts reachable by links,
+    ``text_class`` the least one with the same words. ``kept`` marks the class's
+    first row: least id, of equal ids the least digest of the text. Case and
+    anything but word characters don't count. Null texts are empty; texts
+    without words are one class; texts of fewer than five words link only with
+    equal ones. A row with a null id is a class of its own (class_id null) and
+    kept. Rows that repeat an id each belong to their own text's class; rows
+    that repeat id and text are marked alike. An empty table gives no rows.
+    ``rounds`` (of comparisons with hubs) only decides how much is left for
+    the exact step.
     """
+    members, links, _ = _near_duplicates(docs, similarity, id_col, text_col, tables, minima, rounds, overlap)
+    return members.select("doc_id", "class_id", "text_class", "kept"), links
+
+
+def _near_duplicates(docs: DataFrame, similarity: float, id_col: str, text_col: str, tables: int = TABLES, minima: int = MINIMA, rounds: int = 3, overlap: float = OVERLAP) -> tuple[DataFrame, DataFrame, Scratch]:
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     rows = scratch.keep(sketches(docs, id_col, text_col, tables, minima), "sketches")
-    named = rows.where(F.col("doc").isNotNull())
     classes = scratch.keep(
-        named.groupBy("d1", "d2").agg(F.min("doc").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "classes"
+        rows.where(F.col("doc").isNotNull())
+        .groupBy("d1", "d2").agg(F.min(F.struct("doc", "row")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+        .withColumn("id", F.monotonically_increasing_id()), "classes"
     )
-    buckets = classes.select("id", "n", F.posexplode("keys").alias("t", "key"))
+    buckets = classes.select("id", "d1", "n", F.posexplode("keys").alias("t", "key"))
     # two representatives by an order that all tables share, so that a group meets the same ones, and one by the table's own
-    shared_order, own_order = (F.struct(h.alias("h"), "id", "n") for h in (F.xxhash64(F.lit(11), "id"), F.xxhash64(F.lit(12), "t", "id")))
+    shared_order, own_order = (F.struct(h.alias("h"), "id", "n") for h in (F.xxhash64(F.lit(11), "d1"), F.xxhash64(F.lit(12), "t", "d1")))
     shared = (
         buckets.groupBy("t", "key")
         .agg(F.count(F.lit(1)).alias("size"), F.min(shared_order).alias("r0"), F.max(shared_order).alias("r1"), F.min(own_order).alias("r2"))
         .where("size > 1")
     )
     reps = F.array_distinct(F.transform(F.array("r0", "r1", "r2"), lambda r: F.struct(r["id"].alias("id"), r["n"].alias("n"))))
-    met = scratch.keep(buckets.join(shared.select("t", "key", reps.alias("reps")), ["t", "key"]), "met")
+    met = scratch.keep(buckets.drop("d1").join(shared.select("t", "key", reps.alias("reps")), ["t", "key"]), "met")
     small, large = F.least("n", "m"), F.greatest("n", "m")
-    candidates = (
+    tried = scratch.keep(
         met.select("id", "n", F.explode("reps").alias("r")).select("id", "n", F.col("r.id").alias("other"), F.col("r.n").alias("m"))
         .where((F.col("id") != F.col("other")) & (small >= similarity * large))
-        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "tried0"
     )
     # texts of the classes that share a bucket with another, once
-    involved = met.select("id").distinct()
-    source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    texts = scratch.keep(source.join(involved, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    involved = classes.join(met.select("id").distinct(), "id", "left_semi").select("id", F.col("first.doc").alias("doc"), F.col("first.row").alias("row"))
+    source = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("row"), text_or_empty(text_col).alias("text"))
+    texts = scratch.keep(source.join(involved, ["doc", "row"]).select("id", "text").dropDuplicates(["id"]), "texts")
 
-    hope = F.pandas_udf(lambda a, b: pd.Series(hopeful(a.tolist(), b.tolist(), similarity)), T.BooleanType())
+    @F.pandas_udf(T.BooleanType())
+    def hope(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(hopeful(a.tolist(), b.tolist(), overlap))
 
     def links_of(pairs: DataFrame, tag: str) -> DataFrame:
         sig_a, sig_b = classes.select(F.col("id").alias("a"), F.col("sig").alias("sa")), classes.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-        likely = pairs.join(sig_a, "a").join(sig_b, "b").where(hope("sa", "sb")).select("a", "b")
-        return scratch.keep(verified(likely, texts, similarity), tag)
+        likely = scratch.keep(pairs.join(sig_a, "a").join(sig_b, "b").where(hope("sa", "sb")).select("a", "b"), f"likely_{tag}")
+        return scratch.keep(verified(likely, texts, similarity, overlap, scratch), tag)
+
+    def groups_of(links: DataFrame, tag: str) -> DataFrame:
+        return scratch.keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, f"cc_{tag}_"), f"groups_{tag}")
 
-    links = links_of(candidates, "links0")
-    groups = scratch.keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "cc0_"), "groups0")
-    tried = candidates
-    for k in range(1, rounds):
+    links = links_of(tried, "links0")
+    groups = groups_of(links, "0")
+    for k in range(1, rounds + 1):
         ends = links.select(F.col("a").alias("id"), "similarity").union(links.select(F.col("b").alias("id"), "similarity"))
         ends = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.avg("similarity").alias("mean"))
         state = (
@@ -380,36 +424,47 @@ def near_duplicates(
             .select("t", "key", F.array(*[F.struct(f"{h}.id", f"{h}.n", f"{h}.component") for h in ("h0", "h1")]).alias("hubs"))
         )
         fresh = (
-            placed.join(hubs, ["t", "key"]).select("id", "n", "component", F.explode("hubs").alias("hub"))
+            spread_join(placed, hubs, ["t", "key"], "id", scratch).select("id", "n", "component", F.explode("hubs").alias("hub"))
             .where("component <> hub.component")
             .select("id", "n", F.col("hub.id").alias("other"), F.col("hub.n").alias("m"))
             .where(small >= similarity * large)
             .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         )
         fresh = scratch.keep(fresh.join(tried, ["a", "b"], "left_anti"), f"fresh{k}")
+        scratch.drop(f"placed{k}")
         new = links_of(fresh, f"links{k}")
         if new.isEmpty():
             break
         tried = scratch.keep(tried.union(fresh), f"tried{k}")
         links = links.union(new)
-        groups = scratch.keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, f"cc{k}_"), f"groups{k}")
+        groups = groups_of(links, str(k))
     # buckets of up to three texts were compared in full; of larger ones, pairs between components may be left
     state = classes.select("id").join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
     open_ends = met.select("t", "key", "id").join(state, "id")
     spans = open_ends.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 3 and lo <> hi").select("t", "key")
-    rest = scratch.keep(open_ends.join(spans, ["t", "key"], "left_semi").select("id", "component").distinct(), "rest")
-    prefixes = scratch.keep(postings(texts.join(rest, "id"), similarity), "prefixes")
-    left = scratch.keep(meetings(prefixes, similarity).join(tried, ["a", "b"], "left_anti"), "left")
+    rest = open_ends.join(spans, ["t", "key"], "left_semi").select("id", "component").distinct()
+    rest = scratch.keep(texts.join(rest, "id"), "rest")
+    prefixes = scratch.keep(postings(rest, overlap), "prefixes")
+    left = scratch.keep(meetings(prefixes, similarity, overlap).join(tried, ["a", "b"], "left_anti"), "left")
+    scratch.drop("prefixes")
     new = links_of(left, "links_left")
     if not new.isEmpty():
         links = links.union(new)
-        groups = scratch.keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "cc_left_"), "groups_left")
-    by_class = classes.select("d1", "d2", "id").join(groups, F.col("id") == F.col("node"), "left").select("d1", "d2", F.col("id").alias("text_class"), F.coalesce("component", "id").alias("class_id"))
-    of_id = named.select("doc", "d1", "d2").join(by_class, ["d1", "d2"]).groupBy("doc").agg(F.min("class_id").alias("class_id"), F.min("text_class").alias("text_class"))
-    members = docs.select(F.col(id_col).cast("long").alias("doc_id")).join(of_id, F.col("doc_id") == F.col("doc"), "left").select(
-        "doc_id", "class_id", "text_class", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept")
+        groups = groups_of(links, "left")
+    for tag in ("met", "rest", "texts"):
+        scratch.drop(tag)
+    placed = classes.select("id", "d1", "d2", "first").join(groups, F.col("id") == F.col("node"), "left").select("d1", "d2", "id", "first", "component")
+    heads = placed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("head"))
+    by_class = placed.join(heads, "component", "left").select("d1", "d2", F.col("first.doc").alias("text_class"), F.coalesce("head", "first").alias("head"))
+    by_class = scratch.keep(by_class, "by_class")
+    named = F.col("doc").isNotNull()
+    members = spread_join(rows.select("doc", "row", "d1", "d2"), by_class, ["d1", "d2"], "doc", scratch, "left").select(
+        F.col("doc").alias("doc_id"), F.when(named, F.col("head.doc")).alias("class_id"), F.when(named, F.col("text_class")).alias("text_class"),
+        (~named | (F.struct("doc", "row") == F.col("head"))).alias("kept"), "row",
     )
-    return members, links
+    names = classes.select("id", F.col("first.doc").alias("doc"))
+    named_links = links.join(names.select(F.col("id").alias("a"), F.col("doc").alias("da")), "a").join(names.select(F.col("id").alias("b"), F.col("doc").alias("db")), "b")
+    return members, named_links.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"), "similarity"), scratch
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,13 +473,19 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near duplicates (the least id's), all columns kept."""
-    members, _ = near_duplicates(docs, similarity, id_col, text_col)
-    name = "_sheaf_kept"
-    ids = members.where("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
-    left = docs.join(ids, docs[id_col].cast("long") == ids[name], "left_semi")
-    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
-        one = left
-    else:
-        one = left.dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one row of each group of near duplicates (the class's first), all columns kept.
+
+    Rows with a null id stay. Of rows that agree in id and text one stays,
+    whichever; rows that only share an id are judged by their texts.
+    """
+    members, _, scratch = _near_duplicates(docs, similarity, id_col, text_col)
+    names = ("_sheaf_doc", "_sheaf_row")
+    kept = members.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(names[0]), F.col("row").alias(names[1])).agg(F.count(F.lit(1)).alias("_sheaf_n"))
+    kept = scratch.keep(kept, "kept")
+
+    def of(keys: DataFrame) -> DataFrame:
+        return docs.join(keys, (docs[f"`{id_col}`"] == keys[names[0]]) & (F.xxhash64(docs[f"`{text_col}`"]) == keys[names[1]]), "left_semi")
+
+    out = of(kept.where("_sheaf_n = 1")).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    repeated = kept.where("_sheaf_n > 1")
+    return out if repeated.isEmpty() else out.unionByName(of(repeated).dropDuplicates([id_col, text_col]))

@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, components, cotrain, decontaminate, embed_dedup, line_dedup, order_minhash, secret_scan, sharding, toxicity, url_filter
+from sheaf.llm import _shared, bpe, components, cotrain, decontaminate, embed_dedup, line_dedup, order_minhash, secret_scan, sharding, toxicity, url_filter
 from sheaf.llm._shared import Scratch
 
 DOCS = "doc_id long, text string, source string, lang string, n_chars long, h1 string, row string, id string"
@@ -39,9 +40,23 @@ def test_url_filter(spark):
         5: ("example.net", "/de/8", "example.net/de/8", "block"), 6: ("y.net", "/de/", "net/de/", "allow"), 7: ("com", "", None, "allow"),
         8: ("cheap-pills.example.com", "", None, "block"), 9: ("notexample.com", "/en/7", "com/en/", "block"), 10: ("É.com", "/en/://b.org/es/", "com/en/", "block"), 11: ("", "", None, "allow"),
     }
-    joined = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge(pages, max_index_bytes=0).select("page_id", "host", "path", "rule", "verdict").collect()}
-    assert joined == got
+    several = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge(pages, max_index_bytes=150).select("page_id", "host", "path", "rule", "verdict").collect()}
+    assert several == got
     assert url_filter.judge(pages.limit(0)).count() == 0
+    twice = url_filter.judge(pages.union(pages)).groupBy("page_id", "host", "path", "rule", "verdict").count()
+    assert {r["count"] for r in twice.collect()} == {2}
+
+
+def test_url_filter_with_lists_as_tables(spark):
+    rules = spark.createDataFrame([("block", "b.com/xx"), ("allow", "a.b.com/"), ("allow", "c.com/"), ("block", "c.com/"), ("block", None)], "verdict string, entry string")
+    hosts = spark.createDataFrame([("bad.org",), (None,), ("é.org",)], "entry string")
+    urls = ["http://a.b.com/xx", "http://x.b.com/xx", "http://c.com/", "http://so.bad.org/" + "y" * 50_000, "http://é.org", "http://verybad.org"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["entry"], r["verdict"]) for r in url_filter.judge(pages, rules, hosts).collect()}
+    # of equally long strings the longer host wins; an entry listed both ways blocks
+    assert got == {0: ("a.b.com/", None, "allow"), 1: ("b.com/xx", None, "block"), 2: ("c.com/", None, "block"), 3: (None, "bad.org", "block"), 4: (None, "é.org", "block"), 5: (None, None, "allow")}
+    nothing = url_filter.judge(pages, rules.limit(0), hosts.limit(0))
+    assert {r["verdict"] for r in nothing.collect()} == {"allow"}
 
 
 # --- line dedup
@@ -120,24 +135,43 @@ def test_components(spark):
 # --- near duplicates
 
 
-def brute_classes(rows, similarity=0.8):
+def near(a, b, similarity=0.8, overlap=0.5):
+    """Whether two word lists align, and share enough labelled five-word shingles."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    one, two = (Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (a, b))
+    both = (one & two).total()
+    if both < overlap * (one.total() + two.total() - both) - 1e-9:
+        return False
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1] >= similarity * max(len(a), len(b)) - 1e-9
+
+
+def brute_classes(rows):
+    """Class of each of the rows (unique id, text), all pairs of texts that share a shingle compared."""
     kinds, of = {}, {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         of[i] = kinds.setdefault(tuple(re.findall(r"\w+", (t or "").lower())), i)
-    kmer = {i: order_minhash.distinct(order_minhash.kmers(list(w))) for w, i in kinds.items()}
-    label = {i: i for i in kmer}
+    having = defaultdict(set)
+    for w, i in kinds.items():
+        for k in range(len(w) - 4):
+            having[w[k : k + 5]].add(i)
+    label = {i: i for i in kinds.values()}
 
     def find(x):
         while label[x] != x:
             x = label[x]
         return x
 
-    ids = sorted(kmer)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            if order_minhash.similarity_of(kmer[a], kmer[b], similarity):
-                x, y = sorted((find(a), find(b)))
-                label[y] = x
+    text = {i: w for w, i in kinds.items()}
+    for a, b in sorted({(a, b) for ids in having.values() for a in ids for b in ids if a < b}):
+        if (x := find(a)) != (y := find(b)) and near(text[a], text[b]):
+            label[max(x, y)] = min(x, y)
     return {i: find(k) for i, k in of.items()}
 
 
@@ -175,23 +209,50 @@ def test_near_duplicates_in_crowded_buckets(spark):
     def edited(places):
         return " ".join(f"x{rng.randrange(10**9)}" if k in places else w for k, w in enumerate(template))
 
-    rows = [(k, edited(set(rng.sample(range(10, 490), 12)))) for k in range(700)]
-    rows[300], rows[301] = (300, edited({20, 120, 220, 320, 420})), (301, edited({70, 170, 270, 370, 470}))
+    rows = [(k, edited(set(rng.sample(range(10, 490), 38)))) for k in range(700)]
+    rows[300], rows[301] = (300, edited(set(range(20, 480, 40)))), (301, edited(set(range(35, 480, 40))))
     assert brute_classes(rows[290:310]) == {k: 300 if k == 301 else k for k in range(290, 310)}
     members, _ = order_minhash.near_duplicates(docs_frame(spark, [(i, t, "s") for i, t in rows]))
     assert {r["doc_id"]: r["class_id"] for r in members.collect()} == {k: 300 if k == 301 else k for k in range(700)}
 
 
+def test_a_text_written_twice_is_another_text(spark):
+    rng = random.Random(15)
+    text = words(rng, 120)
+    members, _ = order_minhash.near_duplicates(docs_frame(spark, [(1, text, "s"), (2, text + " " + text, "s"), (3, " ".join([text] * 10), "s")]))
+    assert {r["doc_id"]: r["class_id"] for r in members.collect()} == {1: 1, 2: 2, 3: 3}
+
+
+def test_repeated_and_string_ids(spark):
+    rng = random.Random(16)
+    one, two = words(rng, 60), words(rng, 70)
+    for a, b in ((one, two), (two, one)):  # ids that repeat with different texts, in either order
+        docs = docs_frame(spark, [(1, a, "s"), (1, b, "s"), (2, one, "s"), (3, two, "s")])
+        members, _ = order_minhash.near_duplicates(docs)
+        assert Counter(tuple(r) for r in members.collect()) == Counter({(1, 1, 1, True): 2, (2, 1, 1, False): 1, (3, 1, 1, False): 1})
+        assert {(r["doc_id"], r["text"]) for r in order_minhash.keep_one(docs).collect()} == {(1, one), (1, two)}
+    named = docs.withColumn("doc_id", docs["doc_id"].cast("string"))
+    assert {r["class_id"] for r in order_minhash.near_duplicates(named)[0].collect()} == {"1"}
+
+
 def test_keep_one(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(4, text, "a"), (2, text, "b"), (2, text, "b"), (None, text, "c"), (9, "other words that nobody else has here", "d"), (7, None, "e"), (8, "", "e")]
-    docs = docs_frame(spark, rows)
+    docs = docs_frame(spark, rows).withColumn("doc", F.lit(1)).withColumn("row", F.lit("r"))
     out = order_minhash.keep_one(docs)
     assert out.columns == docs.columns
     assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 2, 7, 9]
     assert order_minhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_hot_keys_are_spread(spark):
+    left = spark.range(3000).select((F.col("id") % 7).alias("k"), "id").union(spark.range(5000).select(F.lit(9).alias("k"), "id")).union(spark.range(3).select(F.lit(None).cast("long").alias("k"), "id"))
+    right = spark.createDataFrame([(0, "a"), (9, "b"), (50, "c")], "k long, v string")
+    for how in ("inner", "left", "left_semi"):
+        want = Counter(tuple(r) for r in left.join(right, ["k"], how).collect())
+        assert Counter(tuple(r) for r in _shared.spread_join(left, right, ["k"], "id", Scratch(spark, "t"), how).collect()) == want
+
+
 # --- embeddings
 
 
@@ -260,8 +321,8 @@ def test_leaks(spark):
     docs = docs_frame(spark, rows)
     got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect())
     assert got == {(1, 3): 1, (5, 4): 2, (None, 5): 1}
-    several = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, max_index_bytes=600).collect())
-    assert {k for k in got} == {k for k in several}
+    one, several = (Counter(tuple(r) for r in decontaminate.find_leaks(docs, bench, max_index_bytes=most).collect()) for most in (1 << 20, 600))
+    assert one == several  # scores too
     left = decontaminate.drop_leaking(docs, bench)
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [2, 3, 4, 6]
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0 and decontaminate.find_leaks(docs.limit(0), bench).count() == 0
@@ -364,8 +425,8 @@ def test_toxicity(spark):
 def test_cotraining(spark):
     docs, labels, truth = _labelled(spark)
     model = cotrain.fit(docs, labels)
-    got = docs.select("doc_id", model.score(docs["text"], docs["lang"], docs["source"]).alias("s")).collect()
+    got = docs.select("doc_id", model.score(docs["text"], docs["lang"], docs["source"], docs["n_chars"]).alias("s")).collect()
     assert len(got) == 603 and all(0 <= r["s"] <= 1 for r in got)
     assert np.mean([(r["s"] >= 0.5) == truth[r["doc_id"]][0] for r in got if r["doc_id"] in truth]) > 0.95
     nothing = cotrain.fit(docs, labels.limit(0))
-    assert {r[0] for r in docs.select(nothing.score(docs["text"], docs["lang"], docs["source"])).collect()} == {0.5}
+    assert {r[0] for r in docs.select(nothing.score(docs["text"], docs["lang"], docs["source"], docs["n_chars"])).collect()} == {0.5}
