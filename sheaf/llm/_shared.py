@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import hashlib
@@ -9,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,10 +134,15 @@ def task_cache(cache):
 
 
 def give_back() -> None:
-    """Forget caches."""
+    """Forget caches; hand memory that Python, Arrow and the allocator hold for later back to the system."""
     for c in _CACHES:
         c.clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
 
 
 def tidy(run: Callable) -> Callable:
