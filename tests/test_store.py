@@ -255,6 +255,98 @@ def test_bulk_insert(store, spark):
     assert c.create(k=5000)["id"] == 1002
 
 
+def test_bulk_insert_keeps_the_schema(store, spark):
+    schema = Schema(name=Field(type=str, required=True), age=Field(type=int, min_value=0), role=Field(default="user"), tags=Field(type=list, default=[]), extra=Field(type=dict, default={"a": [1]}))
+    c = store.collection("c", schema=schema)
+    for frame, errors in (
+        (spark.createDataFrame([("x",)], "age string"), ["required", "type"]),
+        (spark.createDataFrame([(None, 3)], "name string, age int"), ["required"]),
+        (spark.createDataFrame([("a", -3)], "name string, age int"), ["min"]),
+        (spark.createDataFrame([("a", "b")], "name string, tags string"), ["type"]),
+    ):
+        with pytest.raises(SchemaValidationError) as e:
+            c.insert_df(frame)
+        assert sorted(e.value.errors) == errors and c.count() == 0
+    c.insert_df(spark.createDataFrame([("ann", None, None), ("bob", 4, ["x"])], "name string, age int, tags array<string>"))
+    assert c.all() == [{"name": "ann", "age": None, "role": "user", "tags": [], "extra": {"a": [1]}, "id": 1}, {"name": "bob", "age": 4, "role": "user", "tags": ["x"], "extra": {"a": [1]}, "id": 2}]
+    assert c.create(name="cid") == {"name": "cid", "role": "user", "tags": [], "extra": {"a": [1]}, "id": 3}
+
+
+def test_bulk_update_and_delete(store, spark):
+    c = store.collection("c", unique_fields=["u"])
+    c.insert_df(spark.range(100).select(F.col("id").alias("n"), F.col("id").alias("u"), F.lit("old").alias("s")).repartition(3))
+    before = c.filter().pluck("n")
+    ids = spark.createDataFrame([(5,), (6,), (6,), (500,), (None,)], "i long")
+    assert c.update_df(ids, s="new", t={"x": [1, None]}) == 2
+    assert c.get(5)["s"] == "new" and c.get(6)["t"] == {"x": [1, None]} and c.filter(s="new").count() == 2
+    assert c.filter().pluck("n") == before  # updates keep their places
+    with pytest.raises(DuplicateIndexError):
+        c.update_df(ids, u=1000)
+    taken = c.get(9)["u"]
+    with pytest.raises(DuplicateIndexError):
+        c.update_df(spark.createDataFrame([(5,)], "i long"), u=taken)
+    assert c.update_df(spark.createDataFrame([(5,)], "i long"), u=1000) == 1 and c.get(5)["u"] == 1000
+    assert c.delete_df(ids) == 2 and c.delete_df(ids) == 0 and c.update_df(ids, s="x") == 0
+    assert c.count() == 98 and c.create(n=1)["id"] == 101
+    with pytest.raises(ValueError):
+        c.update_df(ids, _id=3)
+
+
+def test_bulk_update_of_encrypted_documents(spark, tmp_path):
+    c = Store(tmp_path / "e", spark, password="pw").collection("c")
+    c.insert_df(spark.range(3).select(F.col("id").alias("n")))
+    assert c.update_df(spark.createDataFrame([(2,)], "i long"), s="secret-word") == 1 and c.get(2) == {"n": 1, "s": "secret-word", "id": 2}
+    assert b"secret-word" not in b"".join(p.read_bytes() for p in (tmp_path / "e").rglob("*.parquet") if p.is_file())
+
+
+def test_many_updates_at_once(users):
+    users.create_many([{"n": i} for i in range(60)])
+    assert users.update_many([*range(1, 51), 1, 99], n=7) == 51 and users.filter(n=7).count() == 50
+    assert users.delete_many(range(1, 41)) == 40 and users.count() == 20
+
+
+def test_cache_survives_own_writes(users):
+    users.create_many([{"n": i} for i in range(3)])
+    users.get(1), users.get(2)
+    users.update(1, n=10)
+    hits = users.stats()["cache"]["hits"]
+    assert users.get(2)["n"] == 1 and users.stats()["cache"]["hits"] == hits + 1
+    assert users.get(1)["n"] == 10
+
+
+def test_vacuum_spares_running_writers(users):
+    users.create(n=1)
+    running = users.path / "data" / "0123.parquet"
+    running.write_bytes(b"not published yet")
+    assert [e["file"] for e in users.pending_entries()] == ["0123.parquet"] and list(users._store.all_pending()) == ["users"]
+    users.compact()
+    assert users.vacuum() == 1 and running.exists()
+    assert users.vacuum(retention=-1) == 1 and not running.exists() and users.count() == 1
+    assert users._store.all_pending() == {}
+
+
+def test_collections_of_two_stores(spark, tmp_path):
+    one, two = Store(tmp_path / "db", spark), Store(tmp_path / "db", spark)
+    one.collection("a"), two.collection("b")
+    assert one.list_collections() == two.list_collections() == ["a", "b"]
+
+
+def test_jsonl_in_splits(store, spark, tmp_path):
+    """Lines keep their order across splits and files."""
+    (tmp_path / "logs").mkdir()
+    for f in range(2):
+        lines = [json.dumps({"_id": k % 50, "_created": 1, "_updated": 1, "_deleted": False, "v": [f, k], "pad": "x" * 200}) for k in range(3000)]
+        (tmp_path / "logs" / f"{f}.data").write_text("\r\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 50_000)
+    try:
+        c = store.collection("c")
+        assert c.import_jsonl(str(tmp_path / "logs")) == 50
+        assert {r["id"]: r["v"] for r in c.all()} == {k: [1, 2950 + k] for k in range(50)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_jsonl_exchange(store, spark, tmp_path):
     lines = [
         {"_id": 2, "_created": 5, "_updated": 5, "_deleted": False, "v": "a"},
