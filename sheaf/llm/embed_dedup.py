@@ -188,6 +188,7 @@ def _links(rows: DataFrame, centroids: np.ndarray, cosine: float, margin: float
                 yield pd.DataFrame({"cell": np.r_[home, cell].astype(np.int64), "guest": np.r_[np.zeros(len(pdf), bool), np.ones(len(row), bool)], "id": pdf["id"].to_numpy()[at], "n": pdf["n"].to_numpy()[at], "v": pdf["v"].to_numpy()[at]})
 
     placed = scratch.keep(rows.mapInPandas(tidy(place), "cell long, guest boolean, id long, n long, v binary"), f"placed{dim}")
+    shared.destroy()
     sizes = (
         placed.groupBy("cell").agg(F.sum((~F.col("guest")).cast("int")).alias("own"), F.sum(F.col("guest").cast("int")).alias("guests"))
         .select("cell", F.ceil(F.col("own") / (TOGETHER * BLOCK)).cast("int").alias("nb"), F.ceil(F.col("guests") / (TOGETHER * BLOCK)).cast("int").alias("ng"))

@@ -287,8 +287,8 @@ def prefix(x: np.ndarray, common: np.ndarray, overlap: float) -> tuple[np.ndarra
     return x[order[rank]], rank
 
 
-def postings(texts: DataFrame, overlap: float) -> DataFrame:
-    """(kmer, rank, id, component, words, n) of every text's prefix; ``texts``: (id, component, text), a written table."""
+def postings(texts: DataFrame, overlap: float, scratch: Scratch) -> DataFrame:
+    """(kmer, rank, id, component, words, n) of every text's prefix, written; ``texts``: (id, component, text), a written table."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(COUNTERS, np.int64)
@@ -320,7 +320,9 @@ def postings(texts: DataFrame, overlap: float) -> DataFrame:
                     "id": each(part["id"]), "component": each(part["component"]), "words": each([len(w) for w in words]), "n": each([len(x) for x in sets]),
                 })
 
-    return texts.mapInPandas(tidy(first), "kmer long, rank long, id long, component long, words long, n long")
+    out = scratch.keep(texts.mapInPandas(tidy(first), "kmer long, rank long, id long, component long, words long, n long"), "prefixes")
+    shared.destroy()
+    return out
 
 
 def meetings(prefixes: DataFrame, similarity: float, overlap: float) -> DataFrame:
@@ -444,7 +446,7 @@ def _near_duplicates(docs: DataFrame, similarity: float, id_col: str, text_col:
     spans = open_ends.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 3 and lo <> hi").select("t", "key")
     rest = open_ends.join(spans, ["t", "key"], "left_semi").select("id", "component").distinct()
     rest = scratch.keep(texts.join(rest, "id"), "rest")
-    prefixes = scratch.keep(postings(rest, overlap), "prefixes")
+    prefixes = postings(rest, overlap, scratch)
     left = scratch.keep(meetings(prefixes, similarity, overlap).join(tried, ["a", "b"], "left_anti"), "left")
     scratch.drop("prefixes")
     new = links_of(left, "links_left")

@@ -46,3 +46,20 @@ def test_pipeline(spark, tmp_path):
         text = texts["decontamination"][r["doc_id"]]
         assert r["token_ids"] == library.encode_ordinary(text) and r["n_tokens"] == len(r["token_ids"])
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_pipeline_of_odd_tables(spark, odd_tables):
+    """Nulls in any column, repeated rows and ids, a very long word, clashing names: one row of each text stays, the benchmark's goes."""
+    rows = corpus_pipeline.run(spark, odd_tables).collect()
+    # two null or empty texts are one class; the item's text goes wherever it stands
+    assert sorted((r["doc_id"], r["n_tokens"] > 0) for r in rows) == [(1, False), (2, True)]
+
+
+def test_pipeline_of_empty_tables(spark, empty_tables):
+    assert corpus_pipeline.run(spark, empty_tables).collect() == []
+
+
+def test_stages_keep_clashing_columns(spark, odd_tables):
+    docs = spark.read.parquet(f"{odd_tables}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, odd_tables).columns == docs.columns
