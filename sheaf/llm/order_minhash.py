@@ -27,11 +27,13 @@ then, in further rounds, members of a bucket that spans several components are
 compared with the bucket's hubs in other components (the member with most
 links, and the one most alike to what it links with), which joins most groups
 cheaply. What is left is exact: all members of buckets of more than three
-texts that still span components meet by prefix filtering. Two sets of n k-mers
-with a Jaccard index of j share one of the first n - ceil(j n) + 1 in any order
-common to all; with the rarest first, texts of one template meet only where
-more than the template agrees. Every pair of different components that meets
-is verified, so no pair that shares a bucket is left out.
+texts that still span components meet by prefix filtering. A text of n words
+that aligns by a part s of the longer one shares one of any n - ceil(s n) + 1
+of its labelled words; if both texts take their first ones in an order common
+to all, they share one of those. With the rarest first, texts that have a long
+passage in common meet only where more than the passage agrees. Every pair of
+different components that meets is verified, so no pair that shares a bucket
+is left out.
 
 A text class is known by the number it got when its table was written, its
 place in hash orders by the digest of its words: neither depends on ids, which
@@ -60,9 +62,9 @@ TABLES, MINIMA = 24, 3
 #: Least part of the words that align, and least Jaccard index of the k-mers.
 SIMILARITY, OVERLAP = 0.8, 0.5
 #: Bins of the one-permutation sketch that sorts out hopeless candidates.
-BINS = 128
+BINS = 256
 _MIX1, _MIX2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
-#: Counters that rank k-mers by how common they are; k-mers may share one, which costs candidates but no link.
+#: Counters that rank words by how common they are; words may share one, which costs candidates but no link.
 COUNTERS = 1 << 20
 #: Labelled k-mers times tables that are hashed at once; texts whose sketches or prefixes are handed on together;
 #: words of aligned texts that a task remembers.
@@ -150,21 +152,21 @@ def signature(x: np.ndarray) -> bytes:
     out = np.zeros(BINS, np.uint8)
     if len(x):
         h = np.sort(_mix(labelled(x) ^ _STEP))
-        bins = (h >> np.uint64(57)).astype(np.int64)
+        bins = (h >> np.uint64(56)).astype(np.int64)
         first = np.r_[True, bins[1:] != bins[:-1]]
         out[bins[first]] = (h[first] % np.uint64(255)).astype(np.uint8) + 1
     return out.tobytes()
 
 
 def hopeful(a: list[bytes], b: list[bytes], overlap: float) -> np.ndarray:
-    """False where the sketches are six standard errors below ``overlap``."""
+    """False where the sketches are four standard errors below ``overlap``."""
     if not a:
         return np.zeros(0, bool)
     x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, BINS) for s in (a, b))
     used = ((x > 0) | (y > 0)).sum(axis=1)
     equal = ((x == y) & (x > 0)).sum(axis=1)
     error = np.sqrt(overlap * (1 - overlap) / np.maximum(used, 1))
-    return equal >= (overlap - 6 * error) * used
+    return equal >= (overlap - 4 * error) * used
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -276,25 +278,25 @@ def _counter(x: np.ndarray) -> np.ndarray:
     return (_mix(x) % np.uint64(COUNTERS)).astype(np.int64)
 
 
-def prefix(x: np.ndarray, common: np.ndarray, overlap: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rarest of the distinct ``x``, one of which any set of that Jaccard index has in its own prefix too, and their ranks in ``x``.
+def prefix(x: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest of the distinct ``x``, one of which any set that has that part of ``x`` shares with it, and their ranks in ``x``.
 
-    ``common`` counts texts by counter. A k-mer alone on its counter stands in no other text and is left out.
+    ``common`` counts texts by counter. What is alone on its counter stands in no other text and is left out.
     """
     n = common[_counter(x)]
-    order = np.lexsort((x, n))[: len(x) - math.ceil(overlap * len(x) - 1e-9) + 1]
+    order = np.lexsort((x, n))[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]
     rank = np.nonzero(n[order] > 1)[0]
     return x[order[rank]], rank
 
 
-def postings(texts: DataFrame, overlap: float, scratch: Scratch) -> DataFrame:
-    """(kmer, rank, id, component, words, n) of every text's prefix, written; ``texts``: (id, component, text), a written table."""
+def postings(texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(term, rank, id, component, n) of every text's prefix of labelled words, written; ``texts``: (id, component, text), a written table."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(COUNTERS, np.int64)
         for pdf in batches:
             for t in pdf["text"]:
-                np.add.at(total, _counter(labelled(kmers(_words(t)))), 1)
+                np.add.at(total, _counter(labelled(_words(t))), 1)
         at = np.nonzero(total)[0]
         yield pd.DataFrame({"at": at, "n": total[at]})
 
@@ -307,36 +309,34 @@ def postings(texts: DataFrame, overlap: float, scratch: Scratch) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), ROWS_AT_ONCE):
                 part = pdf.iloc[at : at + ROWS_AT_ONCE]
-                words = [_words(t) for t in part["text"]]
-                sets = [labelled(kmers(w)) for w in words]
-                heads = [prefix(x, shared.value, overlap) for x in sets]
+                sets = [labelled(_words(t)) for t in part["text"]]
+                heads = [prefix(x, shared.value, similarity) for x in sets]
                 times = [len(h) for h, _ in heads]
 
                 def each(values, times=times):
                     return np.repeat(np.asarray(values, np.int64), times)
 
                 yield pd.DataFrame({
-                    "kmer": np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in heads)]).view(np.int64), "rank": np.concatenate([np.zeros(0, np.int64), *(r for _, r in heads)]),
-                    "id": each(part["id"]), "component": each(part["component"]), "words": each([len(w) for w in words]), "n": each([len(x) for x in sets]),
+                    "term": np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in heads)]).view(np.int64), "rank": np.concatenate([np.zeros(0, np.int64), *(r for _, r in heads)]),
+                    "id": each(part["id"]), "component": each(part["component"]), "n": each([len(x) for x in sets]),
                 })
 
-    out = scratch.keep(texts.mapInPandas(tidy(first), "kmer long, rank long, id long, component long, words long, n long"), "prefixes")
+    out = scratch.keep(texts.mapInPandas(tidy(first), "term long, rank long, id long, component long, n long"), "prefixes")
     shared.destroy()
     return out
 
 
-def meetings(prefixes: DataFrame, similarity: float, overlap: float) -> DataFrame:
-    """(a, b), a < b: the pairs of texts that share a k-mer of ``postings`` and not a component.
+def meetings(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: the pairs of texts that share a term of ``postings`` and not a component.
 
-    If that is the first k-mer they share, nothing rarer counts for their
-    overlap; where the rest is too short for it, or one text for an alignment
-    with the other, they don't meet.
+    If that is the first one they share, nothing rarer counts for what they
+    have in common; where the rest is too short for that, they don't meet.
     """
-    spans = prefixes.groupBy("kmer").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("kmer")
-    some = prefixes.join(spans, "kmer", "left_semi")
-    one, two = (some.select("kmer", F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("words").alias(f"w{x}"), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("rank")).alias(f"r{x}")) for x in "ab")
-    fits = (F.least("ra", "rb") >= overlap / (1 + overlap) * (F.col("na") + F.col("nb")) - 1e-9) & (F.least("wa", "wb") >= similarity * F.greatest("wa", "wb"))
-    return one.join(two, (one["kmer"] == two["kmer"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
+    spans = prefixes.groupBy("term").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("term")
+    some = prefixes.join(spans, "term", "left_semi")
+    one, two = (some.select("term", F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("rank")).alias(f"r{x}")) for x in "ab")
+    fits = F.least("ra", "rb") >= similarity * F.greatest("na", "nb") - 1e-9
+    return one.join(two, (one["term"] == two["term"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
 
 
 def near_duplicates(
@@ -446,8 +446,8 @@ def _near_duplicates(docs: DataFrame, similarity: float, id_col: str, text_col:
     spans = open_ends.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 3 and lo <> hi").select("t", "key")
     rest = open_ends.join(spans, ["t", "key"], "left_semi").select("id", "component").distinct()
     rest = scratch.keep(texts.join(rest, "id"), "rest")
-    prefixes = postings(rest, overlap, scratch)
-    left = scratch.keep(meetings(prefixes, similarity, overlap).join(tried, ["a", "b"], "left_anti"), "left")
+    prefixes = postings(rest, similarity, scratch)
+    left = scratch.keep(meetings(prefixes, similarity).join(tried, ["a", "b"], "left_anti"), "left")
     scratch.drop("prefixes")
     new = links_of(left, "links_left")
     if not new.isEmpty():
