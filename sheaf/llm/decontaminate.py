@@ -13,8 +13,9 @@ least ones that stays below the threshold together can't lift an item over
 it alone, so only blocks in which one of the other lists has postings are
 visited at all, and passages without such lists are done. The largest impacts
 of those lists in a block, with the sum of the run, bound what any item of the
-block scores; blocks below the threshold are skipped whole. In the blocks that
-are left cursors run over the postings: they are kept in order of their items,
+block scores; the run's bounds are then replaced, the greatest first, by what
+its lists have in the block, and a block that falls below the threshold is
+skipped whole. In the blocks that are left cursors run over the postings: they are kept in order of their items,
 the pivot is the first item at which the sum of block maxima reaches the
 threshold, cursors before it skip to it, and an item is scored only where they
 meet. Every passage at or above the threshold is retrieved, and is a leak if
@@ -52,7 +53,9 @@ K1, B = 1.2, 0.75
 SHINGLE = 5
 #: Words whose windows are bounded together; items of a block; item text of one index.
 WORDS_AT_ONCE = 100_000
-BLOCK_ITEMS = 8
+BLOCK_ITEMS = 4
+#: Windows times blocks up to which sums go into a dense table.
+MOST_CELLS = 1 << 21
 MOST_INDEX_BYTES = 8 << 20
 #: Bounds are sums in another order than scores.
 SLACK = 1e-9
@@ -96,6 +99,16 @@ class Statistics:
         return cls(len(bags), sum(map(len, bags)) / max(1, len(bags)), max(map(len, bags), default=1), Counter(w for b in bags for w in set(b)))
 
 
+def _sums(place: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places that occur, sorted, and the sum of the values at each."""
+    if size <= MOST_CELLS:
+        hit = np.bincount(place, minlength=size)
+        there = np.nonzero(hit)[0]
+        return there, np.bincount(place, value, size)[there]
+    there, inverse = np.unique(place, return_inverse=True)
+    return there, np.bincount(inverse, value, len(there))
+
+
 class Index:
     """Inverted index of the items: postings in blocks, with upper bounds of lists and blocks."""
 
@@ -170,40 +183,44 @@ class Index:
         total = np.cumsum(bound)
         total -= np.repeat(total[first] - bound[first], times)
         needed = total >= low  # of each window the lists after the run of least bounds
-        run = np.repeat(np.maximum.reduceat(np.where(needed, 0.0, total), first), times)
+        skipped = times - np.add.reduceat(needed, first)  # lists of the run, and their sum
+        run = np.maximum.reduceat(np.where(needed, 0.0, total), first)
         # entries of the needed lists, summed by window and block
-        t = term[needed]
+        t, of = term[needed], np.repeat(np.arange(len(first)), times)[needed]
         size = self.first[t + 1] - self.first[t]
         entry = np.repeat(self.first[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        spot = np.repeat(window[needed], size) * self.blocks + self.key[entry] % self.blocks
-        spots, place = np.unique(spot, return_inverse=True)
-        most = np.bincount(place, self.most[entry], len(spots))
-        rest = np.zeros(len(spots))
-        rest[place] = np.repeat(run[needed], size)
-        live = spots[most + rest >= low]
-        if not len(live):
-            return
-        # the entries of all lists of a window in its live blocks
-        owner = live // self.blocks
-        a = np.searchsorted(window, owner)
-        times = np.searchsorted(window, owner, "right") - a
-        row = np.repeat(a - np.cumsum(times) + times, times) + np.arange(times.sum())
-        which = np.repeat(np.arange(len(live)), times)
-        want = term[row] * self.blocks + np.repeat(live % self.blocks, times)
+        spot, most = _sums(np.repeat(of, size) * self.blocks + self.key[entry] % self.blocks, self.most[entry], len(first) * self.blocks)
+        w, block = spot // self.blocks, spot % self.blocks
+        most += run[w]
+        # what the lists of the run have in the block instead of their bounds, the greatest first
+        step = 0
+        while True:
+            live = most >= low
+            w, block, most = w[live], block[live], most[live]
+            open_ = np.nonzero(step < skipped[w])[0]
+            if not len(open_):
+                break
+            row = first[w[open_]] + skipped[w[open_]] - 1 - step
+            most[open_] += self._block_most(term[row], block[open_]) - bound[row]
+            step += 1
+        for k, b in zip(w.tolist(), block.tolist(), strict=True):
+            terms = np.sort(term[first[k] : first[k] + times[k]])  # by term, so that sums don't depend on bounds
+            at = self._entries(terms, np.full(len(terms), b))
+            for n, score in self._wand(at[at >= 0], threshold):
+                yield int(window[first[k]]), n, score
+
+    def _entries(self, term: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Entry of each list and block, -1 where the list has no postings there."""
+        want = term * self.blocks + block
         at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
-        hit = self.key[at] == want
-        which, at = which[hit], at[hit]
-        order = np.lexsort((at, which))  # by term, so that sums don't depend on bounds
-        which, at = which[order], at[order]
-        edge = np.searchsorted(which, np.arange(len(live) + 1))
-        for k, w in enumerate(owner.tolist()):
-            for n, score in self._wand(at[edge[k] : edge[k + 1]], threshold):
-                yield w, n, score
+        return np.where(self.key[at] == want, at, -1)
+
+    def _block_most(self, term: np.ndarray, block: np.ndarray) -> np.ndarray:
+        at = self._entries(term, block)
+        return np.where(at >= 0, self.most[at], 0.0)
 
     def _wand(self, entries: np.ndarray, threshold: float) -> Iterator[tuple[int, float]]:
         """(item, score) at or above the threshold, over the postings of some entries of one block."""
-        if self.most[entries].sum() < threshold - SLACK:
-            return
         lists = [(self.item[a:b].tolist(), self.impact[a:b].tolist(), m) for a, b, m in zip(self.start[entries], self.end[entries], self.most[entries].tolist(), strict=True)]
         cursors = [(items[0], k, 0) for k, (items, _, _) in enumerate(lists)]  # (item, list, position)
         while cursors:
