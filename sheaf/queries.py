@@ -64,7 +64,7 @@ _filtered("filter_type_mismatch", "part", "select * from part where false", p_si
 _filtered("filter_exists_column", "nation", "select * from nation", n_name__exists=True)
 _filtered("filter_exists_no_column", "nation", "select * from nation where false", other__exists=True)
 _filtered("get_by_id", "customer", "select * from customer where c_custkey = 42", c_custkey=42)
-_filtered("documents_contains", "documents", "select * from documents where contains(text, 'password')", text__contains="password")
+_filtered("documents_contains", "documents", "select * from documents where contains(text, 'token')", text__contains="token")
 
 
 class _Props(Query):

@@ -76,7 +76,7 @@ def _page(spark, d):
     return c.sort("c_acctbal", descending=True).offset(10).limit(15).typed("c_custkey long, c_acctbal double").drop("id")
 
 
-@_query("store_terminals", "select 'all' as what, n_nationkey as n from nation union all select 'first', min(n_nationkey) from nation union all select 'count', count(*) from nation where n_regionkey > 1 union all select 'iterated', sum(n_nationkey) from nation union all select 'pluck', max(n_nationkey) from nation union all select 'exists', 1")
+@_query("store_terminals", "select 'all' as what, n_nationkey as n from nation union all select 'first', min(n_nationkey) from nation union all select 'count', count(*) from nation where n_regionkey > 1 union all select 'iterated', cast(sum(n_nationkey) as bigint) from nation union all select 'pluck', max(n_nationkey) from nation union all select 'exists', 1")
 def _terminals(spark, d):
     c = _filled(spark, d, "nation")
     found = [("all", r["n_nationkey"]) for r in c.all()]
@@ -249,11 +249,11 @@ def _jsonl_log(spark, d):
     return c.to_df("event_id long").select(F.col("id").alias("user_id"), "event_id")
 
 
-@_query("store_encrypted", "select n_nationkey, n_name, n_regionkey from nation where contains(n_name, 'AN')")
+@_query("store_encrypted", "select n_nationkey, n_name, n_regionkey from nation where contains(n_name, 'ION_1')")
 def _encrypted(spark, d):
     c = _store(spark, password="secret words").collection("n")
     c.insert_df(_read(spark, d, "nation"))
-    return c.filter(n_name__contains="AN").typed(NATION).drop("id")
+    return c.filter(n_name__contains="ION_1").typed(NATION).drop("id")
 
 
 @_query("store_views", "select n_nationkey, false as _deleted, true as has_id from nation where n_nationkey < 20")
@@ -282,7 +282,7 @@ def _snapshot(spark, d):
     return _rows(spark, [("before", query.count()), ("after", c.count())], "at string, n long")
 
 
-@_query("store_ids", "select count(*) as n, count(*) as ids, 1 as low, count(*) as high from orders")
+@_query("store_ids", "select count(*) as n, count(*) as ids, cast(1 as bigint) as low, count(*) as high from orders")
 def _ids(spark, d):
     """Ids of bulk inserts: consecutive, whatever the partitions."""
     c = _store(spark).collection("o")
@@ -305,7 +305,7 @@ def _metadata(spark, d):
     return c.to_df().agg(F.count(F.lit(1)).alias("n"), F.min((F.col("_created") > 0) & (F.col("_updated") >= F.col("_created"))).alias("timed"), F.max("_deleted").alias("deleted"))
 
 
-@_query("store_schema_defaults", "select n_nationkey, 'unknown' as status, 1.5 as weight, '[\"a\",1]' as tags from nation")
+@_query("store_schema_defaults", "select n_nationkey, 'unknown' as status, cast(1.5 as double) as weight, '[\"a\",1]' as tags from nation")
 def _schema_defaults(spark, d):
     """Defaults of fields that the frame has no column for, a list among them."""
     schema = Schema(n_nationkey=Field(type=int, required=True), status=Field(type=str, default="unknown"), weight=Field(type=float, default=1.5), tags=Field(type=list, default=["a", 1]))
