@@ -104,9 +104,9 @@ def _sums(place: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray,
     if size <= MOST_CELLS:
         hit = np.bincount(place, minlength=size)
         there = np.nonzero(hit)[0]
-        return there, np.bincount(place, value, size)[there]
+        return there, np.bincount(place, value, size)[there].astype(float)  # of no places it makes integers
     there, inverse = np.unique(place, return_inverse=True)
-    return there, np.bincount(inverse, value, len(there))
+    return there, np.bincount(inverse, value, len(there)).astype(float)
 
 
 class Index:

@@ -315,6 +315,14 @@ def test_traversal_skips_nothing_that_scores(block_items):
         assert want and got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("most_cells", [decontaminate.MOST_CELLS, 0])
+def test_batch_whose_windows_all_stay_below_the_threshold(monkeypatch, most_cells):
+    """A batch with words of items, but too few in any window, has no list that must be visited."""
+    monkeypatch.setattr(decontaminate, "MOST_CELLS", most_cells)
+    index = decontaminate.Index([(1, "one two three four five six seven eight nine ten."), (2, "one eleven twelve thirteen fourteen fifteen sixteen.")])
+    assert list(index.retrieve(["one", "nothing known", "three and eleven"], 0.5)) == []
+
+
 def test_every_window_is_verified():
     """A word list in front doesn't hide the item, or an edited copy of it, further on."""
     rng = random.Random(11)
