@@ -26,14 +26,14 @@ of up to three texts are compared in full. Links close into components;
 then, in further rounds, members of a bucket that spans several components are
 compared with the bucket's hubs in other components (the member with most
 links, and the one most alike to what it links with), which joins most groups
-cheaply. What is left is exact: all members of buckets of more than three
-texts that still span components meet by prefix filtering. A text of n words
-that aligns by a part s of the longer one shares one of any n - ceil(s n) + 1
-of its labelled words; if both texts take their first ones in an order common
-to all, they share one of those. With the rarest first, texts that have a long
-passage in common meet only where more than the passage agrees. Every pair of
-different components that meets is verified, so no pair that shares a bucket
-is left out.
+cheaply. What is left is exact: the members of every bucket of more than three
+texts that still spans components meet in one task, which counts the labelled
+k-mers and words that each shares with the others; members of the
+bucket's largest component needn't meet each other. Only pairs with k-mers and
+words enough in common (bounds that no near duplicate fails) leave the task,
+each from its first bucket, and are aligned. Large buckets come in parts, each
+pair of which is a task's work, so memory is bounded. No pair of different
+components that shares a bucket is left out.
 
 A text class is known by the number it got when its table was written, its
 place in hash orders by the digest of its words: neither depends on ids, which
@@ -64,9 +64,11 @@ SIMILARITY, OVERLAP = 0.8, 0.5
 #: Bins of the one-permutation sketch that sorts out hopeless candidates.
 BINS = 256
 _MIX1, _MIX2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
-#: Counters that rank words by how common they are; words may share one, which costs candidates but no link.
-COUNTERS = 1 << 20
-#: Labelled k-mers times tables that are hashed at once; texts whose sketches or prefixes are handed on together;
+#: Words of a part of a large bucket that spans components; slots that labelled k-mers and words are counted by there:
+#: two may share one, which costs candidates but no link.
+WORDS_TO_MEET = 1_000_000
+SLOTS = 1 << 20
+#: Labelled k-mers times tables that are hashed at once; texts whose sketches are handed on together;
 #: words of aligned texts that a task remembers.
 CELLS_AT_ONCE = 1 << 18
 ROWS_AT_ONCE = 1000
@@ -274,69 +276,100 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, overlap: flo
     return left.join(two, "b").mapInPandas(tidy(run), "a long, b long, similarity double")
 
 
-def _counter(x: np.ndarray) -> np.ndarray:
-    return (_mix(x) % np.uint64(COUNTERS)).astype(np.int64)
-
-
-def prefix(x: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rarest of the distinct ``x``, one of which any set that has that part of ``x`` shares with it, and their ranks in ``x``.
-
-    ``common`` counts texts by counter. What is alone on its counter stands in no other text and is left out.
+def _slots(x: np.ndarray) -> np.ndarray:
+    """Places of the elements in a table of marks: two texts have no fewer of these in common than elements."""
+    return (x % np.uint64(SLOTS)).astype(np.uint32)
+
+
+class _Cell:
+    """Members of a bucket, or of two parts of a large one, with the slots of their labelled k-mers and words."""
+
+    def __init__(self, part: list[int], ids: list[int], component: list[int], xs: list[bytes], ws: list[bytes], keys: list[bytes]):
+        self.part, self.ids = np.array(part), np.array(ids)
+        self.component = np.unique(component, return_inverse=True)[1]
+        self.kmers, self.words = ([np.frombuffer(x, np.uint32) for x in c] for c in (xs, ws))
+        self.size, self.n = (np.fromiter(map(len, c), np.int64, len(c)) for c in (self.kmers, self.words))
+        self.keys = np.array([np.frombuffer(k, np.int64) for k in keys])
+        self.marks = np.zeros(SLOTS, np.int8)
+
+    def _common(self, sets: list[np.ndarray], q: int, some: np.ndarray) -> np.ndarray:
+        """How many of the elements of each of ``some`` are among those of ``q``, at least."""
+        self.marks[sets[q]] = 1
+        lengths = np.fromiter((len(sets[k]) for k in some), np.int64, len(some))
+        out = np.add.reduceat(self.marks[np.concatenate([sets[k] for k in some])], np.cumsum(lengths) - lengths, dtype=np.int64)
+        self.marks[sets[q]] = 0
+        return out
+
+    def pairs(self, t: int, similarity: float, overlap: float) -> Iterator[tuple[int, int]]:
+        """Pairs of different components (and parts, if there are two) that may have enough k-mers and words in common.
+
+        Members of the largest component needn't meet each other, so only the
+        others look for partners. What shares an earlier bucket was met there.
+        """
+        others = self.component != np.bincount(self.component).argmax()
+        place = np.arange(len(self.ids))
+        two = self.part.min() != self.part.max()
+        for q in np.nonzero(others)[0].tolist():
+            fits = (self.component != self.component[q]) & (~others | (place > q)) & (np.minimum(self.n, self.n[q]) >= similarity * np.maximum(self.n, self.n[q]) - 1e-9)
+            if two:
+                fits &= self.part != self.part[q]
+            some = np.nonzero(fits)[0]
+            before = self.keys[q, :t]
+            some = some[~((self.keys[some, :t] == before) & (before != 0)).any(axis=1)]
+            if len(some):
+                both = self._common(self.kmers, q, some)
+                some = some[both >= overlap * (self.size[some] + self.size[q] - both) - 1e-9]
+            if len(some):
+                some = some[self._common(self.words, q, some) >= similarity * np.maximum(self.n[some], self.n[q]) - 1e-9]
+            for k in some.tolist():
+                yield min(self.ids[q], self.ids[k]), max(self.ids[q], self.ids[k])
+
+
+def meetings(texts: DataFrame, tables: int, similarity: float, overlap: float) -> DataFrame:
+    """(a, b), a < b: the pairs of different components that share an open bucket, enough k-mers and enough words.
+
+    ``texts``: (id, component, text, open), a written table; ``open`` has
+    (t, key, parts) of the text's buckets that span components. A bucket of
+    many words comes in parts, each pair of which is a cell of its own.
     """
-    n = common[_counter(x)]
-    order = np.lexsort((x, n))[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]
-    rank = np.nonzero(n[order] > 1)[0]
-    return x[order[rank]], rank
-
 
-def postings(texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """(term, rank, id, component, n) of every text's prefix of labelled words, written; ``texts``: (id, component, text), a written table."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(COUNTERS, np.int64)
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for t in pdf["text"]:
-                np.add.at(total, _counter(labelled(_words(t))), 1)
-        at = np.nonzero(total)[0]
-        yield pd.DataFrame({"at": at, "n": total[at]})
-
-    counts = texts.select("text").mapInPandas(tidy(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
-    common = np.ones(COUNTERS, np.int64)
-    common[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    shared = texts.sparkSession.sparkContext.broadcast(common)
+            for at in range(0, len(pdf), ROWS_AT_ONCE // 10):
+                rows = []
+                for i, component, text, buckets in pdf.iloc[at : at + ROWS_AT_ONCE // 10][["id", "component", "text", "open"]].itertuples(index=False):
+                    h = _words(text)
+                    x, w = _slots(labelled(kmers(h))).tobytes(), _slots(labelled(h)).tobytes()
+                    keys = np.zeros(tables, np.int64)
+                    for b in buckets:
+                        keys[b["t"]] = b["key"]
+                    for b in buckets:
+                        own = int(_mix(np.array([i], np.int64).view(np.uint64))[0] % np.uint64(b["parts"]))
+                        rows += [(b["t"], b["key"], min(own, k), max(own, k), own, i, component, x, w, keys.tobytes()) for k in range(b["parts"])]
+                yield pd.DataFrame(rows, columns=["t", "key", "i", "j", "part", "id", "component", "x", "w", "keys"])
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, held = None, []
+
+        def found() -> pd.DataFrame:
+            part, component = [r[4] for r in held], [r[6] for r in held]
+            if min(component) == max(component) or cell[2] < cell[3] and min(part) == max(part):
+                return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+            return pd.DataFrame(_Cell(part, [r[5] for r in held], component, *zip(*(r[7:] for r in held), strict=True)).pairs(cell[0], similarity, overlap), columns=["a", "b"], dtype=np.int64)
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), ROWS_AT_ONCE):
-                part = pdf.iloc[at : at + ROWS_AT_ONCE]
-                sets = [labelled(_words(t)) for t in part["text"]]
-                heads = [prefix(x, shared.value, similarity) for x in sets]
-                times = [len(h) for h, _ in heads]
-
-                def each(values, times=times):
-                    return np.repeat(np.asarray(values, np.int64), times)
-
-                yield pd.DataFrame({
-                    "term": np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in heads)]).view(np.int64), "rank": np.concatenate([np.zeros(0, np.int64), *(r for _, r in heads)]),
-                    "id": each(part["id"]), "component": each(part["component"]), "n": each([len(x) for x in sets]),
-                })
-
-    out = scratch.keep(texts.mapInPandas(tidy(first), "term long, rank long, id long, component long, n long"), "prefixes")
-    shared.destroy()
-    return out
-
+            for r in pdf.itertuples(index=False, name=None):
+                if r[:4] != cell:
+                    if held:
+                        yield found()
+                    cell, held = r[:4], []
+                held.append(r)
+        if held:
+            yield found()
 
-def meetings(prefixes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: the pairs of texts that share a term of ``postings`` and not a component.
-
-    If that is the first one they share, nothing rarer counts for what they
-    have in common; where the rest is too short for that, they don't meet.
-    """
-    spans = prefixes.groupBy("term").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("term")
-    some = prefixes.join(spans, "term", "left_semi")
-    one, two = (some.select("term", F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("rank")).alias(f"r{x}")) for x in "ab")
-    fits = F.least("ra", "rb") >= similarity * F.greatest("na", "nb") - 1e-9
-    return one.join(two, (one["term"] == two["term"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
+    cells = texts.mapInPandas(tidy(place), "t int, key long, i int, j int, part int, id long, component long, x binary, w binary, keys binary")
+    cells = cells.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
+    return cells.mapInPandas(tidy(meet), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -442,18 +475,17 @@ def _near_duplicates(docs: DataFrame, similarity: float, id_col: str, text_col:
         groups = groups_of(links, str(k))
     # buckets of up to three texts were compared in full; of larger ones, pairs between components may be left
     state = classes.select("id").join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
-    open_ends = met.select("t", "key", "id").join(state, "id")
-    spans = open_ends.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 3 and lo <> hi").select("t", "key")
-    rest = open_ends.join(spans, ["t", "key"], "left_semi").select("id", "component").distinct()
+    open_ends = scratch.keep(met.select("t", "key", "id", "n").join(state, "id"), "ends")
+    spans = open_ends.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 3 and lo <> hi")
+    spans = spans.select("t", "key", F.ceil(F.col("words") / WORDS_TO_MEET).cast("int").alias("parts"))
+    rest = spread_join(open_ends, spans, ["t", "key"], "id", scratch).groupBy("id", "component").agg(F.collect_list(F.struct("t", "key", "parts")).alias("open"))
     rest = scratch.keep(texts.join(rest, "id"), "rest")
-    prefixes = postings(rest, similarity, scratch)
-    left = scratch.keep(meetings(prefixes, similarity).join(tried, ["a", "b"], "left_anti"), "left")
-    scratch.drop("prefixes")
-    new = links_of(left, "links_left")
+    left = scratch.keep(meetings(rest, tables, similarity, overlap).join(tried, ["a", "b"], "left_anti"), "left")
+    new = scratch.keep(verified(left, texts, similarity, overlap, scratch), "links_left")
     if not new.isEmpty():
         links = links.union(new)
         groups = groups_of(links, "left")
-    for tag in ("met", "rest", "texts"):
+    for tag in ("met", "ends", "rest", "texts"):
         scratch.drop(tag)
     placed = classes.select("id", "d1", "d2", "first").join(groups, F.col("id") == F.col("node"), "left").select("d1", "d2", "id", "first", "component")
     heads = placed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("head"))

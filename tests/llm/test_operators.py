@@ -216,6 +216,32 @@ def test_near_duplicates_in_crowded_buckets(spark):
     assert {r["doc_id"]: r["class_id"] for r in members.collect()} == {k: 100 if k == 101 else k for k in range(250)}
 
 
+def test_only_pairs_with_enough_in_common_leave_a_bucket(spark):
+    """Copies of a template that share a bucket, and mostly too few k-mers; in one piece and in parts."""
+    rng = random.Random(21)
+    template = words(rng, 150, 10**6).split()
+    texts = []
+    for k in range(60):
+        copy = list(template)
+        for i in rng.sample(range(150), 15 if k else 0) if k % 10 else range(0, 20 + k // 10, 2):
+            copy[i] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    component = [7 if k < 25 else 100 + k for k in range(60)]
+    hashed = [order_minhash._words(t) for t in texts]
+    sets = [(set(order_minhash.labelled(order_minhash.kmers(h))), set(order_minhash.labelled(h))) for h in hashed]
+    want = set()
+    for a in range(60):
+        for b in range(a):
+            (x, v), (y, w) = sets[a], sets[b]
+            if component[a] != component[b] and len(x & y) >= 0.5 * len(x | y) and len(v & w) >= 0.8 * max(len(v), len(w)):
+                want.add((b, a))
+    for parts in (1, 3):
+        rows = [(k, component[k], t, [(2, 5, parts), (9, 6, parts)] if k % 2 else [(9, 6, parts)]) for k, t in enumerate(texts)]
+        frame = spark.createDataFrame(rows, "id long, component long, text string, open array<struct<t: int, key: long, parts: int>>")
+        got = [(r["a"], r["b"]) for r in order_minhash.meetings(frame, 24, 0.8, 0.5).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < 300
+
+
 def test_a_text_written_twice_is_another_text(spark):
     rng = random.Random(15)
     text = words(rng, 120)
