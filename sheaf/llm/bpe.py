@@ -140,13 +140,17 @@ class Merger:
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word."""
-        out: list[list[int]] = [[]] * len(words)
+        return [list(map(int, ids.split())) for ids in self.spelled(words)]
+
+    def spelled(self, words: list[bytes]) -> list[str]:
+        """Token ids of each word, decimal, a space before each."""
+        out = [""] * len(words)
         todo = []
         for i, w in enumerate(words):
             if (whole := self.ranks.get(w)) is not None:
-                out[i] = [whole]
+                out[i] = f" {whole}"
             elif len(w) > LONG_WORD:
-                out[i] = self._encode_long(w)
+                out[i] = "".join(f" {x}" for x in self._encode_long(w))
             elif w:
                 todo.append(i)
         part: list[int] = []
@@ -160,7 +164,7 @@ class Merger:
                 part, rows = [], 0
         return out
 
-    def _encode_rows(self, words: list[bytes]) -> list[list[int]]:
+    def _encode_rows(self, words: list[bytes]) -> list[str]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
         rows = pa.table(
@@ -190,7 +194,9 @@ class Merger:
             """
         ).to_arrow_table()
         self.con.unregister("start_rows")
-        return found.column("ids").to_pylist()
+        ids = found.column("ids").combine_chunks()
+        joined = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string())), " ")
+        return pc.binary_join_element_wise("", joined, " ").to_pylist()
 
     def _encode_long(self, word: bytes) -> list[int]:
         """Leftmost pair of least rank first, by a heap over a linked list."""
@@ -272,9 +278,9 @@ class Codec:
             self.held = sum(len(w) + len(i) + WORD_BYTES for w, i in self.known.items())
         for at in range(0, len(new), CHUNK_WORDS):
             part = new[at : at + CHUNK_WORDS]
-            for w, i in zip(part, self.merger.encode([w.encode("utf-8", "surrogatepass") for w in part]), strict=True):
-                self.known[w] = "".join(f" {x}" for x in i)
-                self.held += len(w) + len(self.known[w]) + WORD_BYTES
+            for w, ids in zip(part, self.merger.spelled([w.encode("utf-8", "surrogatepass") for w in part]), strict=True):
+                self.known[w] = ids
+                self.held += len(w) + len(ids) + WORD_BYTES
 
     def ids(self, pieces: list[str]) -> str:
         """Decimal ids joined by one space."""

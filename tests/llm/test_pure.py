@@ -147,6 +147,13 @@ def library(ranks):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def test_words_are_spelled_as_the_library_encodes_them(codec, library):
+    words = ["", "a", " the", " qzxvkj", "\u20ac\u4e16x", "0123456789", "ab" * 150, " zzyzx"]
+    want = [library.encode_ordinary(w) for w in words]
+    assert codec.merger.spelled([w.encode() for w in words]) == ["".join(f" {x}" for x in ids) for ids in want]
+    assert codec.merger.encode([w.encode() for w in words]) == want
+
+
 def _check(codec, library, text):
     [ids] = codec.encoded([text])
     assert ids == " ".join(map(str, library.encode_ordinary(text)))
