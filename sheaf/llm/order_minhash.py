@@ -51,7 +51,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sheaf.llm._shared import Scratch, spread_join, table, task_cache, text_or_empty, tidy
 from sheaf.llm.components import components
@@ -252,15 +251,21 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, tables: int = TABLES,
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, overlap: float, scratch: Scratch) -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b) that are near duplicates; ``texts``: (id, text). Both are written tables."""
-    one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    """(a, b, similarity) of the pairs (a, b) that are near duplicates; both are written tables.
+
+    ``texts``: (id, text) or (id, text, sig); sketches come with the texts, so
+    that a pair is joined once, and sort out the hopeless ones before any work.
+    """
+    one, two = (texts.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in texts.columns if c != "id"]) for end in ("a", "b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[int, np.ndarray] = {}
         size = 0
         for pdf in batches:
+            if "sig_a" in pdf:
+                pdf = pdf[hopeful(pdf["sig_a"].tolist(), pdf["sig_b"].tolist(), overlap)]
             s = []
-            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
+            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"], strict=True):
                 if size > WORDS_KEPT:
                     known.clear()
                     size = 0
@@ -425,18 +430,12 @@ def _near_duplicates(docs: DataFrame, similarity: float, id_col: str, text_col:
         .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "tried0"
     )
     # texts of the classes that share a bucket with another, once
-    involved = classes.join(met.select("id").distinct(), "id", "left_semi").select("id", F.col("first.doc").alias("doc"), F.col("first.row").alias("row"))
+    involved = classes.join(met.select("id").distinct(), "id", "left_semi").select("id", "sig", F.col("first.doc").alias("doc"), F.col("first.row").alias("row"))
     source = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("row"), text_or_empty(text_col).alias("text"))
-    texts = scratch.keep(source.join(involved, ["doc", "row"]).select("id", "text").dropDuplicates(["id"]), "texts")
-
-    @F.pandas_udf(T.BooleanType())
-    def hope(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(hopeful(a.tolist(), b.tolist(), overlap))
+    texts = scratch.keep(source.join(involved, ["doc", "row"]).select("id", "text", "sig").dropDuplicates(["id"]), "texts")
 
     def links_of(pairs: DataFrame, tag: str) -> DataFrame:
-        sig_a, sig_b = classes.select(F.col("id").alias("a"), F.col("sig").alias("sa")), classes.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-        likely = scratch.keep(pairs.join(sig_a, "a").join(sig_b, "b").where(hope("sa", "sb")).select("a", "b"), f"likely_{tag}")
-        return scratch.keep(verified(likely, texts, similarity, overlap, scratch), tag)
+        return scratch.keep(verified(pairs, texts, similarity, overlap, scratch), tag)
 
     def groups_of(links: DataFrame, tag: str) -> DataFrame:
         return scratch.keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, f"cc_{tag}_"), f"groups_{tag}")
@@ -458,12 +457,11 @@ def _near_duplicates(docs: DataFrame, similarity: float, id_col: str, text_col:
             .where("lo <> hi")
             .select("t", "key", F.array(*[F.struct(f"{h}.id", f"{h}.n", f"{h}.component") for h in ("h0", "h1")]).alias("hubs"))
         )
+        # sorted out before the explode: most members are in the hubs' own component, and no row is made for those
+        apart = F.filter("hubs", lambda h: (h["component"] != F.col("component")) & (F.least("n", h["n"]) >= similarity * F.greatest("n", h["n"])))
         fresh = (
-            spread_join(placed, hubs, ["t", "key"], "id", scratch).select("id", "n", "component", F.explode("hubs").alias("hub"))
-            .where("component <> hub.component")
-            .select("id", "n", F.col("hub.id").alias("other"), F.col("hub.n").alias("m"))
-            .where(small >= similarity * large)
-            .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+            spread_join(placed, hubs, ["t", "key"], "id", scratch).select("id", F.explode(apart).alias("hub"))
+            .select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
         )
         fresh = scratch.keep(fresh.join(tried, ["a", "b"], "left_anti"), f"fresh{k}")
         scratch.drop(f"placed{k}")
@@ -479,6 +477,7 @@ def _near_duplicates(docs: DataFrame, similarity: float, id_col: str, text_col:
     spans = open_ends.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 3 and lo <> hi")
     spans = spans.select("t", "key", F.ceil(F.col("words") / WORDS_TO_MEET).cast("int").alias("parts"))
     rest = spread_join(open_ends, spans, ["t", "key"], "id", scratch).groupBy("id", "component").agg(F.collect_list(F.struct("t", "key", "parts")).alias("open"))
+    texts = texts.drop("sig")  # pairs of the exact step were counted
     rest = scratch.keep(texts.join(rest, "id"), "rest")
     left = scratch.keep(meetings(rest, tables, similarity, overlap).join(tried, ["a", "b"], "left_anti"), "left")
     new = scratch.keep(verified(left, texts, similarity, overlap, scratch), "links_left")

@@ -216,6 +216,52 @@ def test_near_duplicates_in_crowded_buckets(spark):
     assert {r["doc_id"]: r["class_id"] for r in members.collect()} == {k: 100 if k == 101 else k for k in range(250)}
 
 
+def executions(spark):
+    """The session's SQL runs by their ids; of long sessions only the last thousand."""
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {run.executionId(): run for run in map(runs.apply, range(runs.size()))}
+
+
+def rows_made(spark, node, naming, before):
+    """Rows that the plan nodes of a kind whose description has a name made in the runs that aren't among those ``before``."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    for run in (run for k, run in executions(spark).items() if k > max(before, default=-1)):
+        values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+        for x in map(nodes.apply, range(nodes.size())):
+            if x.name() == node and naming in x.desc():
+                own = [m for m in map(x.metrics().apply, range(x.metrics().size())) if m.name() == "number of output rows"]
+                made += sum(int(v.get().replace(",", "")) for m in own if (v := values.get(m.accumulatorId())).isDefined())
+    return made
+
+
+def test_members_of_the_hubs_component_make_no_rows(spark):
+    """A large group of near copies shares buckets with a few texts that don't link with it: only those meet its hubs."""
+    rng = random.Random(31)
+    template = words(rng, 300, 10**6).split()
+    rows = []
+    for k in range(120):
+        places = set(rng.sample(range(300), 36 if k >= 100 else 2))
+        rows.append((k, " ".join(f"x{rng.randrange(10**9)}" if i in places else w for i, w in enumerate(template))))
+    before = executions(spark)
+    members, _ = order_minhash.near_duplicates(docs_frame(spark, [(i, t, "s") for i, t in rows]))
+    assert {r["doc_id"]: r["class_id"] for r in members.collect()} == brute_classes(rows) == {k: 0 if k < 100 else k for k in range(120)}
+    # each of the 20 meets two hubs in each of its buckets at most
+    assert 0 < rows_made(spark, "Generate", "hubs", before) <= 2 * 20 * order_minhash.TABLES
+
+
+def test_sketches_come_with_the_texts_of_a_pair(spark, tmp_path):
+    """One join of a pair brings texts and sketches; hopeless sketches sort a pair out, and without sketches all are aligned."""
+    text = words(random.Random(5), 60)
+    spark.createDataFrame([(k, text, bytes([1 + k // 2] * order_minhash.BINS)) for k in range(4)], "id long, text string, sig binary").write.parquet(str(tmp_path / "texts"))
+    spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "a long, b long").write.parquet(str(tmp_path / "pairs"))
+    texts, pairs = spark.read.parquet(str(tmp_path / "texts")), spark.read.parquet(str(tmp_path / "pairs"))
+    for frame, want in ((texts, {(0, 1), (2, 3)}), (texts.drop("sig"), {(0, 1), (1, 2), (2, 3)})):
+        before = executions(spark)
+        links = order_minhash.verified(pairs, frame, 0.8, 0.5, Scratch(spark, "test")).collect()
+        assert {(r["a"], r["b"]): r["similarity"] for r in links} == dict.fromkeys(want, 1.0)
+        assert sum(rows_made(spark, f"{kind}Join", "[b#", before) for kind in ("BroadcastHash", "SortMerge", "ShuffledHash")) == 3
+
+
 def test_only_pairs_with_enough_in_common_leave_a_bucket(spark):
     """Copies of a template that share a bucket, and mostly too few k-mers; in one piece and in parts."""
     rng = random.Random(21)
