@@ -120,7 +120,8 @@ class Merger:
         self._by_pair: dict[tuple[int, int], int] | None = None
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})  # chunks are bounded: nothing spills
-        self._load("merges", pa.table({k: np.ascontiguousarray(self.merges[:, i]) for i, k in enumerate("lrm")}))
+        left, right, merged = self.merges.T
+        self._load("merges", pa.table({"pair": (left.astype(np.int64) << 32) | right, "m": np.ascontiguousarray(merged)}))
         self._load("vocab", pa.table({"id": np.fromiter(ranks.values(), np.int32, len(ranks)), "hex": [t.hex() for t in ranks]}))
 
     def close(self) -> None:
@@ -165,12 +166,12 @@ class Merger:
         return out
 
     def _encode_rows(self, words: list[bytes]) -> list[str]:
+        """``spelled`` for words by the recursive query: one window over all of them, cut where the word changes."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
         rows = pa.table(
             {
                 "w": np.repeat(np.arange(len(words), dtype=np.int32), lengths),
-                "pos": (np.arange(int(lengths.sum())) - starts).astype(np.int32),
+                "pos": np.arange(int(lengths.sum()), dtype=np.int32),
                 "tok": self.byte_ids[np.frombuffer(b"".join(words), np.uint8)],
             }
         )
@@ -181,22 +182,21 @@ class Merger:
               select w, pos, tok, 0 from start_rows
               union all
               (with pairs as (
-                 select w, pos, tok, lead(tok) over word as next_tok, lead(pos) over word as next_pos
-                 from s window word as (partition by w order by pos)),
+                 select w, pos, (tok::bigint << 32) | lead(tok) over word as pair, lead(pos) over word as next_pos, lead(w) over word as next_w
+                 from s window word as (order by pos)),
                best as (
-                 select p.w, min(m::bigint * 1024 + p.pos) as pick, arg_min(p.next_pos, m::bigint * 1024 + p.pos) as gone
-                 from pairs p join merges on p.tok = l and p.next_tok = r group by p.w)
-               select s.w, s.pos, case when s.pos = pick % 1024 then (pick // 1024)::int else tok end, round + 1
+                 select p.w, min((m::bigint << 32) | p.pos) as pick, arg_min(p.next_pos, (m::bigint << 32) | p.pos) as gone
+                 from pairs p join merges using (pair) where next_w = p.w group by p.w)
+               select s.w, s.pos, case when s.pos = pick & 4294967295 then (pick >> 32)::int else tok end, round + 1
                from s join best using (w) where s.pos <> gone)
             )
-            select s.w, list(tok order by pos) as ids
-            from s join (select w, max(round) as round from s group by w) using (w, round) group by s.w order by s.w
+            select s.w, tok from s join (select w, max(round) as round from s group by w) using (w, round) order by pos
             """
         ).to_arrow_table()
         self.con.unregister("start_rows")
-        ids = found.column("ids").combine_chunks()
-        joined = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string())), " ")
-        return pc.binary_join_element_wise("", joined, " ").to_pylist()
+        starts = np.searchsorted(found.column("w").to_numpy(), np.arange(len(words) + 1)).astype(np.int32)
+        ids = found.column("tok").combine_chunks().cast(pa.string())
+        return pc.binary_join_element_wise("", pc.binary_join(pa.ListArray.from_arrays(starts, ids), " "), " ").to_pylist()
 
     def _encode_long(self, word: bytes) -> list[int]:
         """Leftmost pair of least rank first, by a heap over a linked list."""
